@@ -23,7 +23,7 @@ from veldoc.llm.hashing import buffers, word_chunks
 #: Labelled rows that the models are fitted to at most, those of least hash of their id: this bounds what goes to the driver.
 FIT_ROWS = 12_000
 #: Words (by hash) that each model may weigh, those that tell most; rows of the sample in which a word must occur.
-FIT_WORDS, MIN_ROWS = 256, 8
+FIT_WORDS, MIN_ROWS = 256, 5
 #: The share of bad ones is kept away from 0 and 1 by this much, and a site moves the log odds by this much at most.
 EPS, MOST_SHIFT = 1e-4, 2.0
 _OUT = ("keep", "bad", "toxic", "poor", "host_rate", "path_rate")
@@ -75,7 +75,7 @@ class Logistic:
         return out
 
 
-def fit_logistic(shape: np.ndarray, rows: np.ndarray, hashes: np.ndarray, bad: np.ndarray, ridge: float = 1.0) -> Logistic:
+def fit_logistic(shape: np.ndarray, rows: np.ndarray, hashes: np.ndarray, bad: np.ndarray, ridge: float = 0.3) -> Logistic:
     """Newton's method with a ridge, on the words whose presence tells most about `bad` (by chi squared)."""
     n, base = len(bad), bad.mean()
     names, inverse = np.unique(hashes, return_inverse=True)
