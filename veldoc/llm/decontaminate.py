@@ -2,8 +2,8 @@
 
 Of each window of an item (ten consecutive words; an item of fewer is one window) the rarest terms by corpus count
 are its anchors. The index stores the postings (term, document, position) of the anchors over all documents. A
-posting less the anchor's offset in its item is a diagonal: where all anchors of a window stand on one diagonal of
-a document, the lists intersect and the window is compared word by word. Anchors on neighbouring diagonals that
+posting less the anchor's offset in its item is a diagonal: where as many anchors as a window of the item has stand on one
+diagonal of a document, the lists intersect and the item's windows are compared there word by word. Anchors on neighbouring diagonals that
 cover most of an item are proximity matches.
 """
 
@@ -27,7 +27,7 @@ _OUT = ("n_words", "n_hit", "hit_items")
 class Index:
     items: DataFrame  # item, item_id, item_words, len, windows
     anchors: DataFrame  # item, s, off, t
-    diagonals: DataFrame  # item, id, key, diag, offs
+    diagonals: DataFrame  # item, id, key, diag, n (anchors that stand on it)
 
 
 def build_index(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int = WINDOW, anchors: int = ANCHORS) -> Index:
@@ -52,7 +52,7 @@ def build_index(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, i
     postings = at.select("id", "key", "pos", F.xxhash64("w").alias("t")).join(counted(stored(chosen.select("t").distinct(), "anchor-terms")), "t")
     postings = stored(postings.select("t", "id", "key", "pos"), "postings")
     places = counted(stored(chosen.select("item", "off", "t").distinct(), "places"))
-    diagonals = postings.join(places, "t").groupBy("item", "id", "key", (F.col("pos") - F.col("off")).alias("diag")).agg(F.collect_set("off").alias("offs"))
+    diagonals = postings.join(places, "t").groupBy("item", "id", "key", (F.col("pos") - F.col("off")).alias("diag")).agg(F.count("*").alias("n"))
     return Index(own, chosen, diagonals)
 
 
@@ -65,8 +65,8 @@ def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     like the three results are replaced; other names may be any.
     """
     index = build_index(docs, items, id_col, text_col, item_col, item_text_col, window)
-    plan = index.anchors.groupBy("item", "s").agg(F.collect_set("off").alias("need")).groupBy("item").agg(F.collect_list("need").alias("needs"))
-    whole = index.diagonals.join(counted(stored(plan, "plan")), "item").where(F.exists("needs", lambda need: F.size(F.array_except(need, F.col("offs"))) == 0))
+    need = index.anchors.groupBy("item", "s").agg(F.count("*").alias("need")).groupBy("item").agg(F.min("need").alias("need"))
+    whole = index.diagonals.join(counted(stored(need, "need")), "item").where("n >= need")
     found = whole.select("item", "id", "key", "diag").join(counted(index.items), "item")
     found = found.groupBy("id", "key").agg(F.collect_list(F.struct("item_id", "diag", "item_words", "len", "windows")).alias("cands"))
     found = counted(stored(found, "candidates"), CANDIDATE_ROWS)
@@ -94,12 +94,12 @@ def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 def near_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slack: int = 3, share: float = 0.8) -> DataFrame:
     """(id, item_id, start, share): items of which at least `share` of the anchors, three or more, stand in a document
     within `slack` words of one diagonal: copies with words added, dropped or changed. One row for each diagonal."""
-    index = build_index(docs, items, id_col, text_col, item_col, item_text_col)
+    index = build_index(docs.dropDuplicates([id_col, text_col]), items, id_col, text_col, item_col, item_text_col)
     total = index.anchors.groupBy("item").agg(F.count_distinct("off").alias("total"))
     near = W.partitionBy("item", "id", "key").orderBy("diag").rangeBetween(-slack, slack)
-    seen = index.diagonals.withColumn("seen", F.size(F.array_distinct(F.flatten(F.collect_list("offs").over(near)))))
+    seen = index.diagonals.withColumn("seen", F.sum("n").over(near))
     seen = seen.join(total, "item").join(index.items.select("item", "item_id"), "item").where("total >= 3")
-    return seen.select("id", "item_id", F.col("diag").alias("start"), (F.col("seen") / F.col("total")).alias("share")).where(F.col("share") >= share)
+    return seen.select("id", "item_id", F.col("diag").alias("start"), F.least(F.lit(1.0), F.col("seen") / F.col("total")).alias("share")).where(F.col("share") >= share)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
