@@ -49,9 +49,9 @@ def bm25(ix: Index, weights: DataFrame, k1: float = K1, b: float = B) -> DataFra
     wanted = F.broadcast(weights)
     found = ix.postings.select("doc", "term", "tf").join(wanted, "term")
     counts = ix.postings.join(F.broadcast(weights.select(F.col("idf_term").alias("term")).distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).select(F.col("term").alias("idf_term"), "df")
-    scored = found.join(counts, "idf_term").join(ix.lengths, "doc")
+    scored = found.join(counts, "idf_term", "left").join(ix.lengths, "doc")
     tf = F.col("tf") * F.col("times")
-    part = F.col("weight") * idf(F.col("df"), ix.n) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / ix.mean))
+    part = F.col("weight") * idf(F.coalesce("df", F.lit(0)), ix.n) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / ix.mean))
     return scored.groupBy("doc").agg(F.sum(part).alias("score"))
 
 
