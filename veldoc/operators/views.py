@@ -202,3 +202,9 @@ def staleness(refreshed: datetime | None, now: datetime, changes: int = 0) -> st
         return "invalid"
     age = now - refreshed
     return "stale" if age > GRACE or changes >= CHANGES else "warning" if age > GRACE - WARN else "fresh"
+
+
+def refreshed(view: View, state: DataFrame, base: DataFrame, created: DataFrame, others: int) -> DataFrame:
+    """The state of a view after changes: from the rows created alone if there was no other change and all aggregates
+    merge, from the whole table otherwise."""
+    return incremental(view, state, created) if not others and can_refresh_incrementally(view) else partials(view, base.unionByName(created))

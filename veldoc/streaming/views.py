@@ -168,3 +168,26 @@ def ingest(source: DataFrame, path: str, checkpoint: str, transform: Callable[[D
     """Takes a stream into a table batch by batch."""
     sink = append_to(path)
     return source.writeStream.foreachBatch(lambda df, n: sink(transform(df) if transform else df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def maintain(view: Any, source: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a materialized view's mergeable state up to date with a stream: each batch writes the state before it, with
+    its own partial aggregates merged in, as a table of its number. A batch that is run again writes the same."""
+    from veldoc.operators.views import merge, partials
+
+    def sink(df: DataFrame, batch: int) -> None:
+        new = partials(view, df)
+        state = merge(view, df.sparkSession.read.parquet(f"{path}/state-{batch - 1}"), new) if batch else new
+        state.write.mode("overwrite").parquet(f"{path}/state-{batch}")
+
+    return source.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Schemas of the predefined stream collections.
+COLLECTIONS = {
+    "AIRequests": "requestId string, model string, provider string, promptTokens long, completionTokens long, latencyMs double, status string, timestamp timestamp",
+    "Generations": "id string, requestId string, contentType string, content string, language string, timestamp timestamp",
+    "TailEvents": "id string, level string, message string, script string, status int, timestamp timestamp",
+    "EvalRuns": "runId string, suite string, model string, startedAt timestamp, finishedAt timestamp",
+    "EvalScores": "runId string, scorer string, score double, timestamp timestamp",
+}
