@@ -58,6 +58,18 @@ def test_word_hashes_follow_words():
     assert got == [words(t) for t in sample] and len(names) == len(set(names.values()))
 
 
+def test_stored_tables_are_swept(spark):
+    import os
+
+    from veldoc.llm import common
+
+    df = common.stored(spark.range(5), "swept")
+    path = common._STORED[-1]
+    assert df.count() == 5 and os.path.isdir(path.removeprefix("file:"))
+    common.sweep(spark)
+    assert not os.path.isdir(path.removeprefix("file:")) and not common._STORED
+
+
 # nearest
 
 

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from veldoc.llm.common import small_batches
+
 _TEXT = re.compile(r"\\|###|</turn>")
 _TEXT_BACK = re.compile(r"\\(\\|###|</turn>)")
 _ROLE = re.compile(r"[\\:\n]|###|</turn>")
@@ -112,6 +114,7 @@ def format_chats(df: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_
     conversation id is a conversation of its own. A conversation is one training example and so is made whole in one task;
     conversations are spread by id. Only the four columns named are read.
     """
+    small_batches(df.sparkSession)
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chats = df.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     chats = chats.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))

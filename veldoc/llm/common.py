@@ -42,15 +42,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process has stored.
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it back: the lineage ends here,
     and an executor that is lost later costs none of the work before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that were stored so far. Results that are still to be computed from them must be written first."""
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Makes the batches that go to Python workers small in bytes, so that very long texts don't fill their memory;
+    ten thousand rows, Spark's bound, could be of any size. A session that has set the bytes itself keeps its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+
+
 #: Rows that a broadcast side may have. With the narrow rows used here this is tens of MB.
 BROADCAST_ROWS = 500_000
 

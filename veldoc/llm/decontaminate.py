@@ -75,7 +75,9 @@ def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
     rows = rows.withColumn("own_key", text_key(F.col("own_text")))
     rows = rows.join(found, rows["own_id"].eqNullSafe(found["id"]) & (rows["own_key"] == found["key"]), "left")
-    rows = rows.select("row", "cands", words(F.col("own_text")).alias("words"))
+    # where there is no candidate only the count of words is asked for, if that
+    found_in = F.when(F.col("cands").isNotNull(), words(F.col("own_text")))
+    rows = rows.select("row", "cands", found_in.alias("words"), F.size(words(F.col("own_text"))).cast("long").alias("n_words"))
 
     def windows_of(c):
         def same(s):
@@ -85,7 +87,7 @@ def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
         return F.transform(F.filter(F.sequence(F.lit(0), c["windows"] - 1), same), lambda s: F.struct(c["item_id"].alias("item_id"), (c["diag"] + s).alias("at"), c["len"].alias("len")))
 
     hits = F.when(F.col("cands").isNotNull(), F.flatten(F.transform("cands", windows_of)))
-    rows = rows.select("row", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    rows = rows.select("row", "n_words", hits.alias("hits"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["len"] - 1)))))
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
     return rows.select("row.*", "n_words", F.when(F.col("hits").isNull(), 0).otherwise(covered).cast("long").alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("hit_items"))

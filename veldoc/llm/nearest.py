@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veldoc.llm.common import stored
+from veldoc.llm.common import small_batches, stored
 
 #: Vectors of a block of candidates and of queries, rows of a tile that are multiplied at a time, lists merged at a time.
 CANDIDATES, QUERIES, STRIP, MERGE = 4096, 2048, 128, 64
@@ -96,6 +96,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     a query's neighbours are the best of its vectors'. Only the two columns named are read, besides `queries`.
     The work grows with queries times candidates, the rows that are moved with the number of tiles.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), queries.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows = rows.withColumn("dim", F.size("v"))
     sizes = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veldoc.llm.common import stored, text_key
+from veldoc.llm.common import small_batches, stored, text_key
 from veldoc.llm.hashing import buffers, word_chunks
 
 #: Labelled rows that the models are fitted to at most, those of least hash of their id: this bounds what goes to the driver.
@@ -129,6 +129,7 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:
     """Fits both models to the labelled rows of least hash, `rows` at most; equal texts count once. Labels that are
     null count as 1 for quality and 0 for toxic. Without any labelled text all documents are good."""
+    small_batches(docs.sparkSession)
     sample = labels.select(F.col(id_col).alias("label_id"), F.coalesce("quality", F.lit(1)).cast("int").alias("quality"), F.coalesce("toxic", F.lit(0)).cast("int").alias("toxic"))
     sample = sample.where(F.col("label_id").isNotNull()).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
@@ -209,6 +210,7 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text", host_col: str =
     twice, which costs less than to shuffle them: only sums by site are shuffled. Sites are joined by a shuffle or a
     broadcast, as Spark's own figures of the sizes tell. `with_text=False` leaves the text out.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in _OUT]
     rest = [c for c in kept if c != text_col]
     host, path = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host_col, path_col))
