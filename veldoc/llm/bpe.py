@@ -23,10 +23,12 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from veldoc.llm.common import small_batches
+
 #: Words of the corpus that the lexicon holds at most: this bounds what the driver collects and ships.
 LEXICON_WORDS = 30_000
 #: Words whose ids a Python worker keeps at a time.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 100_000
 END = "</w>"
 #: White space as the tokenizer's patterns mean it.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -193,6 +195,23 @@ def model(path: str) -> Bpe:
     return Bpe(path)
 
 
+@lru_cache(2)
+def _library_split(path: str):
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)["pre_tokenizer"]["pretokenizers"]
+    pattern = next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split")
+    return Tokenizer.from_file(path).normalizer, pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+
+
+def split_by_library(path: str, text: str) -> list[str]:
+    """The words of a text with characters that are newer than Python's Unicode tables: only the library knows which
+    of them it takes for letters."""
+    normalizer, split = _library_split(path)
+    return [w for w, _ in split.pre_tokenize_str(normalizer.normalize_str(text))]
+
+
 _LOWERED = str.maketrans({"Σ": "σ", "İ": "i̇"})
 
 
@@ -211,8 +230,15 @@ class Encoder:
 
     def __init__(self, path: str, lexicon: Automaton | None):
         self.bpe, self.lexicon, self.cache, self.before = model(path), lexicon, {}, {}
+        self.path, self.seen, self.newer = path, set(), set()
 
     def _words(self, text: str) -> list[str]:
+        if not text.isascii():
+            if unseen := set(text) - self.seen:
+                self.seen |= unseen
+                self.newer |= {c for c in unseen if unicodedata.category(c) == "Cn"}
+            if self.newer and not self.newer.isdisjoint(text):
+                return split_by_library(self.path, text)
         plain = normalised(text)
         return self.bpe.split_ascii.findall(plain) if plain.isascii() else self.bpe.split.findall(plain)
 
@@ -273,8 +299,8 @@ def build_lexicon(df: DataFrame, tokenizer: str, text_col: str = "text", words:
     """Counts the words of all texts, compiles the `words` most frequent ones and hands the file to all executors.
     Returns its name among Spark's files. The counts are summed before they are shuffled."""
     spark = df.sparkSession
-    runs = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}+"), F.lit(0))).alias("w")
-    top = df.select(runs).groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).select("w")
+    runs = F.explode(F.split(F.lower(F.col(text_col)), r"\P{L}+")).alias("w")
+    top = df.select(runs).where("w <> ''").groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).select("w")
     found = [r["w"].encode() for r in top.toLocalIterator()]
     ids = dict(zip(found, model(tokenizer).merge(found))) if found else {}
     name = f"lexicon-{uuid.uuid4().hex}.bin"
@@ -293,6 +319,7 @@ def _in_parts(batches: Iterator[pd.DataFrame], rows: int = 400) -> Iterator[pd.D
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "token_ids", lexicon: str | None = None) -> DataFrame:
     """`df` and an array of the ids of each text; a null or empty text has an empty array. All rows and columns stay;
     a column of the name `ids_col` is replaced."""
+    small_batches(df.sparkSession)
     name = lexicon or build_lexicon(df, tokenizer, text_col)
 
     @F.pandas_udf("array<int>")
@@ -324,6 +351,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     name = build_lexicon(docs, tokenizer)
 
