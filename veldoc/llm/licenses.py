@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from veldoc.llm.common import text_key, words
+from veldoc.llm.common import stored, text_key, words
 
 #: Words of a gram, fewer in templates that are shorter.
 K = 4
@@ -69,7 +69,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have no words, no places and empty labels. Rows that are repeated, or share an id, are each
     judged by their own text. Columns of `docs` named like the results are replaced; other names may be any.
     """
-    votes = license_votes(docs, id_col, text_col)
+    votes = stored(license_votes(docs, id_col, text_col), "votes")  # few rows; they are used twice
     base = votes.where("base").select("id", "key", F.col("diag").alias("start"), "label", F.col("template"))
     phrase_words = F.size(F.split("template", " "))
     base = base.select("id", "key", "start", "label", (F.col("start") + phrase_words).alias("end"), F.lit(1.0).alias("share"), F.lit(True).alias("base"))
