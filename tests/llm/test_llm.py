@@ -316,6 +316,20 @@ def test_passages(spark):
     assert passages.shared_passages(df.where("false")).count() == 0
 
 
+def test_passages_of_common_lines(spark):
+    r = random.Random(5)
+    lines = [prose(30, 700 + i, 100_000) for i in range(40)]
+    rows = [(i, f"{prose(20, 1000 + i)} {r.choice(lines)} {r.choice(lines)} {prose(20, 2000 + i)}") for i in range(300)]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    need = brute_shared(rows, 50)
+    assert len(need) > 30 and need <= {x["doc_id"] for x in got}
+    text = {i: words(t) for i, t in rows}
+    for x in got:
+        same = collections.Counter(text[x["doc_id"]][x["start"] : x["end"]]) & collections.Counter(text[x["other_id"]][x["other_start"] : x["other_end"]])
+        assert same.total() >= x["n_same"] >= 0.8 * (x["end"] - x["start"]) >= 40
+    assert len(got) == len({tuple(x) for x in got})
+
+
 def test_chaining():
     assert passages.chain([0, 10, 20, 25], [100, 110, 120, 5]) == [[0, 1, 2], [3]]
     assert passages.chain([0, 500], [0, 500]) == [[0], [1]]
