@@ -421,6 +421,18 @@ def test_near_duplicates(spark):
     assert near_dups.near_duplicates(df.where("false")).count() == 0
 
 
+def test_near_duplicates_of_an_absent_original(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(400):
+        w = prose(200, 77).split()
+        for at in r.sample(range(200), 3):
+            w[at] = f"new{r.random()}"
+        rows.append((i, " ".join(w)))
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == brute_classes(rows)
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     x, y = np.array([0.5, 2.3, 1.0]), np.array([1.5, 0.3, 1.0])
     names = np.array([11, 22, 33], np.uint64)

@@ -7,9 +7,10 @@ keep the same dart with the probability of their weighted Jaccard similarity. On
 about `k ln k` for a text of any length.
 
 Signatures are joined by bands. In a bucket of up to PAIRWISE texts all pairs are candidates. In a larger one each
-text is a candidate with the bucket's hub, the text that shares most buckets with others: copies of one original
-resemble it at least as much as each other, and texts that share changes of their own also meet in smaller buckets.
-So candidates grow with the rows and not with their square. Each candidate pair is then compared exactly.
+text is a candidate with the bucket's hub at first, the text that shares most buckets with others: copies of one
+original resemble it at least as much as each other. Each candidate pair is compared exactly. Of the classes that come
+of this, a large bucket may hold several; then all its pairs across classes are candidates too, so that the classes are
+those of all pairs that share a band. Only where a bucket's texts are in many classes do candidates grow with its square.
 """
 
 from __future__ import annotations
@@ -142,8 +143,8 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def _candidates(signed: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes, each once."""
+def _candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of nodes, each once; and the rows of the large buckets, of which only pairs with the hub are there."""
     rows = signed.select("node", "size", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
     rows = stored(rows.join(buckets, "band"), "bands")
@@ -158,7 +159,19 @@ def _candidates(signed: DataFrame) -> DataFrame:
     least = F.col("node") < F.col("h")
     spokes = spokes.select(F.when(least, F.col("node")).otherwise(F.col("h")).alias("a"), F.when(least, F.col("h")).otherwise(F.col("node")).alias("b"), F.col("size").alias("na"), F.col("nh").alias("nb"))
     small_enough = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")
-    return pairs.union(spokes).where(small_enough).select("a", "b").distinct()
+    return pairs.union(spokes).where(small_enough).select("a", "b").distinct(), rows.where(F.col("m") > PAIRWISE)
+
+
+def _across(large: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs a < b, not among `pairs`, that share a large bucket and are in different classes. One of such a pair is
+    outside of the bucket's largest class."""
+    rows = stored(large.select("band", "node", "size").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "classed")
+    top = rows.groupBy("band", "class").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"))
+    top = stored(top.where("classes > 1").select("band", F.col("top.class").alias("main")), "mixed")
+    rest = stored(rows.join(top, "band").where(F.col("class") != F.col("main")), "outside")
+    x, y = (t.select("band", F.col("node").alias(f"n{k}"), F.col("size").alias(f"s{k}"), F.col("class").alias(f"c{k}")) for k, t in enumerate((rest, rows)))
+    both = x.join(y, "band").where("c0 <> c1").where(F.least("s0", "s1") >= SIMILARITY * F.greatest("s0", "s1"))
+    return both.select(F.least("n0", "n1").alias("a"), F.greatest("n0", "n1").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -176,6 +189,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the stored pairs whose texts have SIMILARITY or more."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = docs.join(counted(stored(needed, "needed")), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
+    sets = stored(texts.mapInArrow(_elements, "node long, elements binary"), "sets")
+    compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
+    return stored(compared.select("a", "b", _jaccard("ea", "eb").alias("similarity")).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, copies_of): one row for each distinct pair of id and text of `df`. Texts are in one class
     if a chain of links of SIMILARITY or more, or equality, connects them; `class_id` is the class's least id and
@@ -190,13 +212,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = stored(docs.mapInArrow(_sign, "node long, doc_id long, size long, bands array<long>"), "signed")
     # one node for each text, so that exact copies are of no more weight than one
     nodes = signed.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    pairs = stored(_candidates(nodes), "pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.join(counted(stored(needed, "needed")), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
-    sets = stored(texts.mapInArrow(_elements, "node long, elements binary"), "sets")
-    compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
-    links = stored(compared.select("a", "b", _jaccard("ea", "eb").alias("similarity")).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
+    pairs, large = _candidates(nodes)
+    pairs = stored(pairs, "pairs")
+    links = _links(docs, pairs)
     classes = components(links)
+    across = stored(_across(large, classes, pairs), "across")
+    if not across.isEmpty():
+        classes = components(links.union(_links(docs, across)))
     members = signed.select("doc_id", "node", (F.col("size") > 0).alias("worded")).distinct().join(classes, "node", "left")
     members = members.withColumn("group", F.coalesce("class", "node"))
     first = members.where("worded").groupBy("group").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("top"))
