@@ -369,6 +369,18 @@ def test_secrets_odd(spark, odd):
     assert [r["text"] for r in clean] == ["a [SECRET]' b", None, "plain"]
 
 
+def test_secrets_are_whole():
+    r = random.Random(4)
+    value = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(360))
+    for lead in ("private_key: ", "AWS_SECRET_ACCESS_KEY=", "DB_PWD=", "db_pass: ", "Authorization: Bearer ", "bearer ", "pass=" + "z" * 200):
+        assert any(lead_end <= len(lead) and b == len(lead) + 360 and k == 3 for lead_end, b, k in secrets.scan(f"{lead}{value} rest"))
+    assert secrets.scan("the bearer certificates, a compass: northwest") == [] and secrets.scan("pass: " + "z" * 50_000) == []
+    for n in range(300):
+        v = "".join(r.choice(["password", "1999-04-12", "zzzzzzzzzzzzzz", "qwertyuiop", "abab" * 6, "x", "7", "Kq"]) for _ in range(r.randint(1, 9)))
+        for enough in (4.0, 8.0, 12.0):
+            assert (secrets.guess_cost(v, enough) >= enough) == (secrets.guess_cost(v) >= enough)
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < cost("P@ssw0rd") < cost("xkqvzjwp") and cost("aaaaaaaa") < 3 and cost("qwertyuiop") < 4 and cost("19990412") < 5 and cost("f3ef4d6b2755a36d7d9c25bd") > 20

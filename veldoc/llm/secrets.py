@@ -28,7 +28,9 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Parts of the words in ASSIGN: a text without any of them has no match.
 ASSIGN_PARTS = ("passw", "secret", "token", "api_key", "apikey")
 
-CONTEXT = re.compile(r"""\b(?:pwd|pass|passphrase|passcode|pin|auth|bearer|credentials?|private[_ ]key|access[_ ]key|client[_ ]secret|secret[_ ]key)["']?\x20*[:=]\x20*["']?([^\s"'<>,;]{6,128})""", re.I | re.A)
+#: The word may begin behind an underscore. Behind bearer a blank is enough in an authorization header, and elsewhere
+#: where the value has a digit or 20 characters, unlike prose.
+CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:(?:pwd|pass|passphrase|passcode|pin|auth|bearer|credentials?|private[_ ]key|access[_ ]key|client[_ ]secret|secret[_ ]key)["']?\x20*[:=]\x20*["']?|authorization["']?\x20*[:=]\x20*["']?bearer\x20+|bearer\x20+(?=[^\s"'<>,;]{0,256}\d|[^\s"'<>,;]{20}))([^\s"'<>,;]{6,})""", re.I | re.A)
 CONTEXT_PARTS = ("pwd", "pass", "pin", "auth", "bearer", "credential", "private", "access", "secret")
 
 #: Common words of passwords, most common first.
@@ -45,19 +47,21 @@ def _near(a: str, b: str) -> bool:
     return bool(p and q) and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, enough: float = math.inf) -> float:
     """log10 of the guesses for the cheapest split of `value` into spans.
 
     A word costs its rank (doubled where it has capitals or digits for letters), a date 365 days times 100 years at
     most, a repeat the cost of its unit times the repetitions, a keyboard walk its start, length and turns, and a
     brute-force span 10 guesses for each digit, 26 for a letter of one case and 95 for any other character,
     times the alphabet's change. Each span after the first doubles the guesses. The empty value costs 0.
+    Ends with a number of at least `enough` as soon as no split can cost less: words and dates take 12 characters at
+    most, so where no repeat or walk of 12 goes on, each split has a boundary among the last 12 places.
     """
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
     dates: dict[int, list[int]] = {}
-    for m in re.finditer(r"(?=(\d{4,}|\d[\d/.-]{3,9}))", value):
+    for m in re.finditer(r"(?=(\d{4}|\d[\d/.-]{3,9}))", value):
         for size in range(4, 11):
             if _DATE.fullmatch(value, m.start(), min(n, m.start() + size)) and m.start() + size <= n:
                 dates.setdefault(m.start() + size, []).append(m.start())
@@ -72,6 +76,7 @@ def guess_cost(value: str) -> float:
             step = now
         else:
             walk[i], turns[i], step = 1, 0, None
+    again = [0] * 9  # by unit: characters up to here that equal the one a unit before
     for i in range(1, n + 1):
         c = value[i - 1]
         single = 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 95
@@ -87,10 +92,9 @@ def guess_cost(value: str) -> float:
                     best[i] = min(best[i], joined(j) + math.log10(rank * factor * cased + 1))
         for j in dates.get(i, ()):
             best[i] = min(best[i], joined(j) + math.log10(36500 if i - j > 4 else 119))
-        for unit in range(1, min(8, i // 2) + 1):
-            times = 1
-            while i - (times + 1) * unit >= 0 and value[i - (times + 1) * unit : i - times * unit] == value[i - unit : i]:
-                times += 1
+        for unit in range(1, min(8, i - 1) + 1):
+            again[unit] = again[unit] + 1 if value[i - 1 - unit] == c else 0
+            times = 1 + again[unit] // unit
             if times >= 2 and (unit > 1 or times >= 3):
                 j = i - times * unit
                 kind = sum(math.log10(10 if x.isdigit() else 26) for x in value[i - unit : i])
@@ -98,6 +102,8 @@ def guess_cost(value: str) -> float:
         if walk[i] >= 3:
             j = i - walk[i]
             best[i] = min(best[i], joined(j) + math.log10(47 * walk[i]) + turns[i] * math.log10(5))
+        if best[i] >= enough and i > 12 and walk[i] < 12 and all(again[u] < 12 - u for u in range(1, 9)) and min(best[i - 12 : i]) >= enough:
+            return min(best[i - 12 : i + 1])
     return best[n]
 
 
@@ -114,7 +120,7 @@ def scan(text: str | None, min_log10: float = 8.0) -> list[tuple[int, int, int]]
     out += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     values = [m.span(1) for m in CONTEXT.finditer(text)] if any(part in low for part in CONTEXT_PARTS) else []
     values += [ASSIGN.match(text, a).span(2) for a, b, k in out if k == 0]
-    out += [(a, b, 3) for a, b in sorted(set(values)) if guess_cost(text[a:b][:128]) >= min_log10]
+    out += [(a, b, 3) for a, b in sorted(set(values)) if guess_cost(text[a:b], min_log10) >= min_log10]
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
@@ -122,7 +128,7 @@ def find_secrets(df: DataFrame, text_col: str = "text", out_col: str = "secret_s
     """`df` and an array of struct(kind, start, end, text): all spans of the text by start, then kind.
 
     Null and empty texts have an empty array. Rows are kept as they are, repeated ones too. A column that has the
-    name `out_col` is replaced. Values longer than 128 characters are judged by their first 128, the span is whole.
+    name `out_col` is replaced. Values of any length are judged in full, and their spans are whole.
     """
 
     small_batches(df.sparkSession)
