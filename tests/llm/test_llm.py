@@ -478,6 +478,12 @@ def test_bpe_equals_library(spark, texts):
     assert bpe.encode(df.where("false"), path).count() == 0
 
 
+def test_automaton_of_long_words():
+    names = {b"a" * 5000: [1], b"a" * 4999 + b"b": [2, 3], "é".encode() * 600: [4], b"ab": [5]}
+    made = bpe.Automaton.compile(names)
+    assert {w: made.output(n) for w, n in zip(names, made.find(list(names)).tolist())} == names
+
+
 def test_automaton(tmp_path):
     r = random.Random(9)
     names = {bytes(r.choice(b"abcde") for _ in range(r.randint(1, 7))): [r.randrange(100) for _ in range(r.randint(1, 3))] for _ in range(800)}

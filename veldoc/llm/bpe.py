@@ -71,12 +71,16 @@ class Automaton:
                 path.append(len(final) - 1)
             final[path[-1]], last = True, word
         settle(0)
-        counts: dict[int, int] = {}
-
-        def below(state: int) -> int:
-            if state not in counts:
-                counts[state] = final[state] + sum(below(t) for t in nexts[state].values())
-            return counts[state]
+        counts: dict[int, int] = {}  # words below each state: a state is counted when all that it leads to are
+        todo = [0]
+        while todo:
+            state = todo[-1]
+            left = [t for t in nexts[state].values() if t not in counts]
+            if left:
+                todo += left
+                continue
+            counts[state] = final[state] + sum(counts[t] for t in nexts[state].values())
+            todo.pop()
 
         number, order = {0: 0}, [0]
         rows = []
@@ -87,7 +91,7 @@ class Automaton:
                     number[t] = len(order)
                     order.append(t)
                 rows.append((number[state] << 8 | b, number[t], skipped))
-                skipped += below(t)
+                skipped += counts[t]
         rows.sort()
         table = np.array(rows, np.int64).reshape(-1, 3)
         outputs = [words[w] for w in sorted(words)]
