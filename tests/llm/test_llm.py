@@ -478,6 +478,25 @@ def test_bpe_equals_library(spark, texts):
     assert bpe.encode(df.where("false"), path).count() == 0
 
 
+@needs_tokenizers
+def test_bpe_of_long_words(spark, tmp_path):
+    """Words without an end, over whole table and query: as the library has them, and in seconds."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    r = random.Random(12)
+    made = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    sample = [made(a, n) for n in (255, 256, 257, 3000) for a in ("abcdefghijklmnopqrstuvwxyzABC", "ACGT", "aab", "日本語éß文")]
+    sample += [made("abcdefghijklmnopqrstuvwxyz", 1_000_000), "a" * 1_000_000, "so " + made("xyz", 2000) + " on", None, ""]
+    spark.createDataFrame(list(enumerate(sample)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for x in bpe.op10_bpe(spark, str(tmp_path)).collect():
+        got = library.encode(sample[x["doc_id"]] or "", add_special_tokens=False)
+        assert x["n_tokens"] == len(got.ids) and x["ids_sha256"] == sha(" ".join(map(str, got.ids)))
+        assert x["decoded_sha256"] == sha(library.decode(got.ids, skip_special_tokens=False))
+
+
 def test_automaton_of_long_words():
     names = {b"a" * 5000: [1], b"a" * 4999 + b"b": [2, 3], "é".encode() * 600: [4], b"ab": [5]}
     made = bpe.Automaton.compile(names)

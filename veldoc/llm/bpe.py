@@ -2,12 +2,14 @@
 
 Frequent words of the corpus are compiled, with their ids as output, into an automaton whose suffixes are
 shared. Executors map its file into memory; a batch of words runs through it in step, one byte at a time.
-A word that it doesn't hold is merged exactly, pair by pair, again for a whole batch at once.
+A word that it doesn't hold is merged exactly, pair by pair, again for a whole batch at once; a long word (base64,
+minified code, any text without blanks) by itself with a heap of its pairs, in n log n.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
@@ -27,8 +29,12 @@ from veldoc.llm.common import small_batches
 
 #: Words of the corpus that the lexicon holds at most: this bounds what the driver collects and ships.
 LEXICON_WORDS = 30_000
+#: Letters of a word of the lexicon at most; longer words are merged where they occur.
+LEXICON_LETTERS = 64
 #: Words whose ids a Python worker keeps at a time.
 CACHE_WORDS = 100_000
+#: Bytes from which on a word is merged by itself.
+LONG_WORD = 256
 END = "</w>"
 #: White space as the tokenizer's patterns mean it.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -163,9 +169,15 @@ class Bpe:
         order = np.argsort(pair, kind="stable")
         self.pairs, self.rank = pair[order], order.astype(np.int64)
         self.merged = np.array([self.vocab[a + b] for a, b in merges], np.int64)
+        self.ranks: dict[int, int] | None = None  # of pairs, made when the first long word comes
+        self.merged_ids: list[int] = []
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word: the pair of least rank, the leftmost of equal ones, is merged until none is left."""
+        if max(map(len, words), default=0) >= LONG_WORD:
+            short = [w for w in words if len(w) < LONG_WORD]
+            ids = dict(zip(short, self.merge(short))) if short else {}
+            return [ids[w] if w in ids else self.merge_long(w) for w in words]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(lengths)
@@ -193,6 +205,40 @@ class Bpe:
             ids, word = ids[keep], word[keep]
         return out
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """The ids of one word by a heap of pairs over linked places: n log n, some 200 bytes of memory a letter. A pair
+        whose place has changed since it was put in the heap is passed over."""
+        if self.ranks is None:
+            self.ranks = dict(zip(self.pairs.tolist(), self.rank.tolist()))
+            self.merged_ids = self.merged.tolist()
+        ranks, merged = self.ranks, self.merged_ids
+        data = np.frombuffer(word, np.uint8)
+        ids = self.first[data]
+        ids[-1] = self.last[data[-1]]
+        key = ids[:-1] << 32 | ids[1:]
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        here = np.flatnonzero(self.pairs[at] == key)
+        heap = np.sort(self.rank[at[here]] << 32 | here).tolist()  # a sorted list is a heap
+        ids, n = ids.tolist(), len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            top = heapq.heappop(heap)
+            rank, i = top >> 32, top & 0xFFFFFFFF
+            j = after[i]
+            if ids[i] < 0 or j >= n or ranks.get(ids[i] << 32 | ids[j]) != rank:
+                continue
+            ids[i], ids[j], after[i] = merged[rank], -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                r = ranks.get(ids[i] << 32 | ids[after[j]])
+                if r is not None:
+                    heapq.heappush(heap, r << 32 | i)
+            if before[i] >= 0:
+                r = ranks.get(ids[before[i]] << 32 | ids[i])
+                if r is not None:
+                    heapq.heappush(heap, r << 32 | before[i])
+        return [x for x in ids if x >= 0]
+
 
 @lru_cache(2)
 def model(path: str) -> Bpe:
@@ -301,10 +347,11 @@ def _encoder(path: str, lexicon: str) -> Encoder:
 
 def build_lexicon(df: DataFrame, tokenizer: str, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
     """Counts the words of all texts, compiles the `words` most frequent ones and hands the file to all executors.
-    Returns its name among Spark's files. The counts are summed before they are shuffled."""
+    Returns its name among Spark's files. The counts are summed before they are shuffled. Of LEXICON_LETTERS a word at
+    most, what the driver collects is bounded in bytes too."""
     spark = df.sparkSession
     runs = F.explode(F.split(F.lower(F.col(text_col)), r"\P{L}+")).alias("w")
-    top = df.select(runs).where("w <> ''").groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).select("w")
+    top = df.select(runs).where((F.col("w") != "") & (F.length("w") <= LEXICON_LETTERS)).groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).select("w")
     found = [r["w"].encode() for r in top.toLocalIterator()]
     ids = dict(zip(found, model(tokenizer).merge(found))) if found else {}
     name = f"lexicon-{uuid.uuid4().hex}.bin"
@@ -351,7 +398,9 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "token_ids", text_col:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of ids and decoded text, for each row of `documents`."""
+    """Number of tokens and digests of ids and decoded text, for each row of `documents`, whole texts of any length and
+    words of any length. A null or empty text has no tokens and the digests of the empty string; a null id stays null;
+    repeated rows stay."""
     import public_tokenizers
 
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
