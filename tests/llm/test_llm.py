@@ -433,7 +433,9 @@ def test_near_duplicates(spark):
     assert near_dups.near_duplicates(df.where("false")).count() == 0
 
 
-def test_near_duplicates_of_an_absent_original(spark):
+@pytest.mark.parametrize("tile", [512, 30])
+def test_near_duplicates_of_an_absent_original(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_dups, "TILE", tile)
     r = random.Random(11)
     rows = []
     for i in range(400):
@@ -445,6 +447,13 @@ def test_near_duplicates_of_an_absent_original(spark):
     assert {x["doc_id"]: x["class_id"] for x in got} == brute_classes(rows)
 
 
+def test_common_counts(monkeypatch):
+    monkeypatch.setattr(near_dups, "STRIP", 7)
+    r = np.random.default_rng(3)
+    a, b = ([np.unique(r.integers(0, 60, n)).astype(np.uint64) for n in (0, 5, 40, 60, 1)] for _ in range(2))
+    assert near_dups.common_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     x, y = np.array([0.5, 2.3, 1.0]), np.array([1.5, 0.3, 1.0])
     names = np.array([11, 22, 33], np.uint64)

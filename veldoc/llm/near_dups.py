@@ -6,11 +6,15 @@ is dropped. Each dart has a rank and a coordinate, and of each coordinate the da
 keep the same dart with the probability of their weighted Jaccard similarity. Only the darts of low rank are made,
 about `k ln k` for a text of any length.
 
+The weights of the query are the counts of the shingles: one unit for each time that a shingle occurs in a text.
+
 Signatures are joined by bands. In a bucket of up to PAIRWISE texts all pairs are candidates. In a larger one each
-text is a candidate with the bucket's hub at first, the text that shares most buckets with others: copies of one
-original resemble it at least as much as each other. Each candidate pair is compared exactly. Of the classes that come
-of this, a large bucket may hold several; then all its pairs across classes are candidates too, so that the classes are
-those of all pairs that share a band. Only where a bucket's texts are in many classes do candidates grow with its square.
+text is a candidate with two hubs at first: the text that shares most buckets with others, as copies of one original
+resemble it at least as much as each other, and one by hash, another in each bucket. Each candidate pair is compared
+exactly. Of the classes that come of this, a large bucket may hold several; then each of its texts outside of its largest
+class is compared exactly with all texts of the bucket that are in other classes, in tiles of TILE x TILE texts. So the
+classes are those of all pairs that share a band, and no bucket is capped; the work in a large bucket is its texts times
+those that its hubs leave outside.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Size of a bucket up to which all its pairs are candidates.
 PAIRWISE = 12
+#: Texts and bytes of elements of a side of a tile, about, and elements whose counts are multiplied at a time.
+TILE, TILE_BYTES, STRIP = 512, 8_000_000, 4096
 
 
 def shingles(rows: np.ndarray, hashes: np.ndarray, n_rows: int, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -143,35 +149,111 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def _candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b of nodes, each once; and the rows of the large buckets, of which only pairs with the hub are there."""
+def _banded(signed: DataFrame) -> DataFrame:
+    """(band, node, size, m): the buckets of several texts; m is the number of their texts."""
     rows = signed.select("node", "size", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    rows = stored(rows.join(buckets, "band"), "bands")
-    ties = rows.groupBy("node").agg(F.sum("m").alias("ties"))
+    # stored, so that a frequent band's rows can be split among tasks by the joins
+    buckets = stored(rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+    return stored(rows.join(counted(buckets), "band").select("band", "node", "size", "m"), "bands")
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes, each once: all of small buckets, those with a hub of large ones."""
     small = rows.where(F.col("m") <= PAIRWISE)
     x, y = small.select("band", F.col("node").alias("a"), F.col("size").alias("na")), small.select("band", F.col("node").alias("b"), F.col("size").alias("nb"))
     pairs = x.join(y, "band").where("a < b").select("a", "b", "na", "nb")
-    large = rows.where(F.col("m") > PAIRWISE).join(ties, "node")
-    hubs = large.groupBy("band").agg(F.max(F.struct("ties", (-F.col("node")).alias("node"), "size")).alias("hub"))
-    hubs = hubs.select("band", (-F.col("hub.node")).alias("h"), F.col("hub.size").alias("nh"))
-    spokes = large.join(hubs, "band").where("node <> h")
+    ties = rows.groupBy("node").agg(F.sum("m").alias("ties"))
+    large = rows.where(F.col("m") > PAIRWISE)
+    first = F.max(F.struct("ties", (-F.col("node")).alias("least"), "node", "size"))
+    second = F.min(F.struct(F.xxhash64("node", "band").alias("by"), "node", "size"))
+    hubs = large.join(ties, "node").groupBy("band").agg(first.alias("first"), second.alias("second"))
+    hubs = stored(hubs.select("band", F.explode(F.array(F.struct("first.node", "first.size"), F.struct("second.node", "second.size"))).alias("x")).select("band", F.col("x.node").alias("h"), F.col("x.size").alias("nh")), "hubs")
+    spokes = large.join(counted(hubs), "band").where("node <> h")
     least = F.col("node") < F.col("h")
     spokes = spokes.select(F.when(least, F.col("node")).otherwise(F.col("h")).alias("a"), F.when(least, F.col("h")).otherwise(F.col("node")).alias("b"), F.col("size").alias("na"), F.col("nh").alias("nb"))
     small_enough = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")
-    return pairs.union(spokes).where(small_enough).select("a", "b").distinct(), rows.where(F.col("m") > PAIRWISE)
+    return pairs.union(spokes).where(small_enough).select("a", "b").distinct()
 
 
-def _across(large: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs a < b, not among `pairs`, that share a large bucket and are in different classes. One of such a pair is
-    outside of the bucket's largest class."""
-    rows = stored(large.select("band", "node", "size").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "classed")
-    top = rows.groupBy("band", "class").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"))
-    top = stored(top.where("classes > 1").select("band", F.col("top.class").alias("main")), "mixed")
-    rest = stored(rows.join(top, "band").where(F.col("class") != F.col("main")), "outside")
-    x, y = (t.select("band", F.col("node").alias(f"n{k}"), F.col("size").alias(f"s{k}"), F.col("class").alias(f"c{k}")) for k, t in enumerate((rest, rows)))
-    both = x.join(y, "band").where("c0 <> c1").where(F.least("s0", "s1") >= SIMILARITY * F.greatest("s0", "s1"))
-    return both.select(F.least("n0", "n1").alias("a"), F.greatest("n0", "n1").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+def _sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, elements) of the nodes in `rows`."""
+    needed = stored(rows.select("node").distinct(), "needed")
+    texts = docs.join(counted(needed), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
+    return stored(texts.mapInArrow(_elements, "node long, elements binary"), "sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs whose texts have SIMILARITY or more."""
+    compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
+    return stored(compared.select("a", "b", _jaccard("ea", "eb").alias("similarity")).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of `a` shares with each of `b`: product of 0/1 matrices, STRIP elements at a time."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    names = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(names):
+        return out
+    sides = []
+    for values, sets in ((x, a), (y, b)):
+        owner = np.repeat(np.arange(len(sets)), [len(e) for e in sets])
+        at = np.minimum(np.searchsorted(names, values), len(names) - 1)
+        hit = names[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((owner[hit][order], at[hit][order], len(sets)))
+    for lo in range(0, len(names), STRIP):
+        width = min(STRIP, len(names) - lo)
+        parts = []
+        for owner, at, n in sides:
+            i, j = np.searchsorted(at, [lo, lo + width])
+            one = np.zeros((n, width), np.float32)
+            one[owner[i:j], at[i:j] - lo] = 1
+            parts.append(one)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _tile(df: pd.DataFrame) -> pd.DataFrame:
+    """Links between classes of a tile: of all that there are, enough to connect the same classes."""
+    sides = [df[df["side"] == k] for k in (0, 1)]
+    out: list[tuple[int, int]] = []
+    if len(sides[0]) and len(sides[1]):
+        a, b = ([np.frombuffer(e, U64) for e in side["elements"]] for side in sides)
+        ca, cb = (side["class"].to_numpy() for side in sides)
+        both = common_counts(a, b).astype(float)
+        total = np.array([len(e) for e in a])[:, None] + np.array([len(e) for e in b])[None, :] - both
+        i, j = np.nonzero((both / np.maximum(total, 1) >= SIMILARITY) & (ca[:, None] != cb[None, :]))
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        for x, y in sorted(set(zip(ca[i].tolist(), cb[j].tolist()))):
+            p, q = top(x), top(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((x, y))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _across(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of classes that a link of two texts of one large bucket connects. Of two texts in different classes one is
+    outside of the bucket's largest class. A tile has about TILE texts of either side, fewer where they are long."""
+    rows = rows.where(F.col("m") > PAIRWISE).select("band", "node", "size").join(classes, "node", "left")
+    rows = stored(rows.withColumn("class", F.coalesce("class", "node")), "classed")
+    held = rows.groupBy("band", "class").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    held = held.groupBy("band").agg(F.max(F.struct("n", "class", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("classes")).where("classes > 1")
+    parts = lambda n, s: F.ceil(F.greatest(n / TILE, s * 8 / TILE_BYTES)).cast("int")
+    mixed = held.select("band", F.col("main.class").alias("main"), parts(F.col("n"), F.col("s")).alias("wide"), parts(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("high"))
+    rows = rows.join(counted(stored(mixed, "mixed")), "band").join(sets, "node")
+    own = lambda of, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    outside = rows.where("class <> main").select("band", "class", "elements", F.lit(0).alias("side"), own("high", 1).alias("i"), every("wide").alias("j"))
+    whole = rows.select("band", "class", "elements", F.lit(1).alias("side"), own("wide", 2).alias("j"), every("high").alias("i"))
+    return outside.unionByName(whole).groupBy("band", "i", "j").applyInPandas(_tile, "a long, b long").distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -189,19 +271,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the stored pairs whose texts have SIMILARITY or more."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.join(counted(stored(needed, "needed")), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
-    sets = stored(texts.mapInArrow(_elements, "node long, elements binary"), "sets")
-    compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
-    return stored(compared.select("a", "b", _jaccard("ea", "eb").alias("similarity")).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, copies_of): one row for each distinct pair of id and text of `df`. Texts are in one class
-    if a chain of links of SIMILARITY or more, or equality, connects them; `class_id` is the class's least id and
-    `is_first` marks the one document of it that stays.
+    """(doc_id, node, class_id, is_first): one row for each distinct pair of id and text of `df`. `node` is the key of
+    the text. Texts are in one class if a chain of links of SIMILARITY or more, or equality, connects them; `class_id` is
+    the class's least id and `is_first` marks the one document of it that stays.
 
     Ids are of type long. A null or wordless text is in a class of its own, like its equals (empty texts are no
     copies of each other). Repeated rows count once. Several texts under one id are linked through their texts only,
@@ -212,15 +285,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = stored(docs.mapInArrow(_sign, "node long, doc_id long, size long, bands array<long>"), "signed")
     # one node for each text, so that exact copies are of no more weight than one
     nodes = signed.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    pairs, large = _candidates(nodes)
-    pairs = stored(pairs, "pairs")
-    links = _links(docs, pairs)
-    classes = components(links)
-    across = stored(_across(large, classes, pairs), "across")
-    if not across.isEmpty():
-        classes = components(links.union(_links(docs, across)))
+    rows = _banded(nodes)
+    sets = _sets(docs, rows)
+    classes = components(_links(_candidates(rows), sets))
+    across = stored(_across(rows, classes, sets), "across")
     members = signed.select("doc_id", "node", (F.col("size") > 0).alias("worded")).distinct().join(classes, "node", "left")
     members = members.withColumn("group", F.coalesce("class", "node"))
+    if not across.isEmpty():
+        merged = components(across).select(F.col("node").alias("group"), F.col("class").alias("merged"))
+        members = members.join(merged, "group", "left").withColumn("group", F.coalesce("merged", "group"))
     first = members.where("worded").groupBy("group").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("top"))
     out = members.join(first, "group", "left")
     is_first = F.coalesce(F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("node") == F.col("top.node")), F.lit(False)) | ~F.col("worded")
