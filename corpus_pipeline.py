@@ -19,13 +19,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays. Exactly repeated rows stay together with it."""
+    """One document of each class of near duplicates stays. Of rows that repeat an id and a text the one of least other
+    columns stays; rows without words, under other ids, are no copies of each other."""
     from veldoc.llm.near_dups import near_duplicates
 
-    gone = near_duplicates(docs).where(~F.col("is_first")).select(F.col("doc_id").alias("gone_id"), "node")
     keyed = docs.withColumn("node", text_key(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(gone["gone_id"]) & (keyed["node"] == gone["node"])
-    return keyed.join(gone, same, "left_anti").select(*COLUMNS)
+    # an id and its text are told by two keys, so that a repeated row is found without a shuffle of texts
+    repeated = stored(keyed.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    gone = stored(near_duplicates(docs).where(~F.col("is_first")).select("doc_id", "node"), "gone")
+    rows = _without(keyed, gone.union(repeated.select("doc_id", "node")))
+    again = _only(keyed, repeated.select("doc_id", "node")).groupBy("doc_id", "node").agg(F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("row"))
+    return rows.select(*COLUMNS).union(_without(again, gone).select("doc_id", "row.*").select(*COLUMNS))
+
+
+def _matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    keys = keys.select(F.col("doc_id").alias("key_id"), F.col("node").alias("key_node"))
+    return rows.join(keys, rows["doc_id"].eqNullSafe(keys["key_id"]) & (rows["node"] == keys["key_node"]), how)
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return _matched(rows, keys, "left_anti")
+
+
+def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return _matched(rows, keys, "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
