@@ -330,6 +330,41 @@ def test_passages_of_common_lines(spark):
     assert len(got) == len({tuple(x) for x in got})
 
 
+def edited(text, share, seed, evenly=False):
+    """A passage with about `share` of its words changed: mostly replaced, some dropped or put in."""
+    r, out = random.Random(seed), text.split()
+    n = round(share * len(out))
+    for k, at in sorted(enumerate(range(0, len(out), max(1, len(out) // n)) if evenly else r.sample(range(len(out)), n)), key=lambda x: -x[1]):
+        how = "replace" if evenly or k % 5 else r.choice(["drop", "add"])
+        out[at : at + (how != "add")] = [] if how == "drop" else [f"new{r.randrange(10**9)}"]
+    return " ".join(out)
+
+
+def fuzzy_recall(spark, share, evenly=False, n=150, size=80):
+    """Share of pairs of a passage and its edited copy, each in a text of its own, that are found."""
+    rows = []
+    for i in range(n):
+        passage = prose(size, 9000 + i, 30_000)
+        for k, t in enumerate((passage, edited(passage, share, i, evenly))):
+            rows.append((2 * i + k, f"{prose(60, 20_000 + 2 * i + k, 30_000)} {t} {prose(50, 40_000 + 2 * i + k, 30_000)}"))
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x["doc_id"] // 2 == x["other_id"] // 2 for x in got)
+    return len({x["doc_id"] // 2 for x in got}) / n
+
+
+@pytest.mark.parametrize("share, least", [(0.05, 1.0), (0.1, 0.98), (0.15, 0.93)])
+def test_passages_with_changes(spark, share, least):
+    assert fuzzy_recall(spark, share) >= least
+
+
+def test_passages_of_repeated_rows(spark):
+    line = prose(12, 4, 30_000)
+    rows = [(1, prose(80, 1))] * 500 + [(2, prose(80, 1))] * 300 + [(k, f"{line} " * (8 + k)) for k in range(3, 7)] + [(None, None), (None, ""), (None, prose(80, 1))]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["other_id"]) for x in got if x["doc_id"] < 3) == [(1, 2), (2, 1)]
+    assert {x["doc_id"] for x in got} == set(range(1, 7)) and len(got) < 40
+
+
 def test_chaining():
     assert passages.chain([0, 10, 20, 25], [100, 110, 120, 5]) == [[0, 1, 2], [3]]
     assert passages.chain([0, 500], [0, 500]) == [[0], [1]]
