@@ -120,6 +120,16 @@ def stem(language: str = "en"):
     return stems
 
 
+def stem_by(languages):
+    """A function of two columns, language and word: the stem of the word in that language."""
+
+    @F.pandas_udf(StringType())
+    def stems(language: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None else stem_with(w, x if x in languages else "") for x, w in zip(language, words)])
+
+    return stems
+
+
 def light_stem(word: Column) -> Column:
     """The first ending that leaves three letters goes."""
     out = F.when(F.length(word) < 4, word)

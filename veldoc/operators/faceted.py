@@ -3,6 +3,7 @@ spelling, completion, similar documents, and fusion with vector search. All matc
 
 from __future__ import annotations
 
+import base64
 import functools
 import re
 from collections.abc import Mapping, Sequence
@@ -153,6 +154,16 @@ def filter_first(df: DataFrame, post: DataFrame, key: str, spec: Column, terms:
     return out.select("doc", F.lit(10 * used).alias("score"))
 
 
+def page_of(df: DataFrame, size: int, cursor: str | None = None) -> tuple[DataFrame, str]:
+    """A page of a sorted search and the cursor of the page behind it: base64 of the offset, as the service gives it. A
+    cursor that can't be read begins at the first row."""
+    try:
+        offset = max(0, int(base64.b64decode(cursor or "", validate=True) or b"0"))
+    except ValueError:
+        offset = 0
+    return df.offset(offset).limit(size), base64.b64encode(str(offset + size).encode()).decode()
+
+
 def fused(text: DataFrame, vector: DataFrame, k: int = RRF_K, weight: float = RRF_WEIGHT) -> DataFrame:
     """Reciprocal rank fusion of (doc, score) of a text search and of a vector search, each the top rows of a search."""
     ranked = lambda df, name: df.withColumn(name, F.row_number().over(W.orderBy(F.desc("score"), "doc"))).select("doc", name)

@@ -8,7 +8,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veldoc.functions.text import LATIN, damerau, query_tokens, tokens
 
@@ -19,23 +19,54 @@ FUZZY_LENGTH, FUZZY_PREFIX, FUZZY_PENALTY = 4, 1, 0.2
 
 @dataclass
 class Index:
-    """postings(doc, term, tf, positions), lengths(doc, length), and the number and mean length of documents."""
+    """postings(term, doc, tf, length, positions), where length is the document's, docs(doc, length) of all documents,
+    vocabulary(term, df), and the number and mean length of documents."""
 
     postings: DataFrame
-    lengths: DataFrame
+    docs: DataFrame
+    vocabulary: DataFrame
     n: int
     mean: float
 
     def terms(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        return self.vocabulary
+
+    def of(self, terms: Sequence[str]) -> DataFrame:
+        """The postings of a few terms: a filter that reaches the stored, sorted table."""
+        return self.postings.where(F.col("term").isin(list(dict.fromkeys(terms))))
 
 
 def index(df: DataFrame, key: str, text: str, pattern: str = LATIN) -> Index:
-    at = df.select(F.col(key).alias("doc"), F.explode(tokens(F.col(text), pattern)).alias("t")).select("doc", "t.term", "t.position")
-    postings = at.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    lengths = df.select(F.col(key).alias("doc"), F.size(tokens(F.col(text), pattern)).alias("length"))
-    stats = lengths.agg(F.count("*"), F.avg("length")).first()
-    return Index(postings, lengths, stats[0], stats[1] or 0.0)
+    """The postings as a plan, computed anew by each query. `save` and `load` keep them."""
+    placed = df.select(F.col(key).alias("doc"), tokens(F.col(text), pattern).alias("ts"))
+    docs = placed.select("doc", F.size("ts").alias("length"))
+    at = placed.select("doc", F.size("ts").alias("length"), F.explode("ts").alias("t")).select("doc", "length", "t.term", "t.position")
+    postings = at.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("position")).alias("positions"))
+    stats = docs.agg(F.count("*"), F.avg("length")).first()
+    return Index(postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")), stats[0], stats[1] or 0.0)
+
+
+def save(df: DataFrame, path: str, key: str, text: str, pattern: str = LATIN) -> None:
+    """Writes an index: postings in ranges of terms, each file sorted, so that a term's rows stand in a few row groups; a
+    frequent term's rows are spread by document. Texts are read once."""
+    spark = df.sparkSession
+    placed = df.select(F.col(key).alias("doc"), tokens(F.col(text), pattern).alias("ts"))
+    at = placed.select("doc", F.size("ts").alias("length"), F.explode_outer("ts").alias("t")).select("doc", "length", "t.term", "t.position")
+    rows = at.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("position")).alias("positions"))
+    rows.select("term", "doc", "tf", "length", "positions").write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    rows.where("term is not null").repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    rows.groupBy("doc").agg(F.max("length").alias("length")).write.parquet(f"{path}/docs")
+    found = spark.read.parquet(f"{path}/postings")
+    found.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
+    spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.parquet(f"{path}/stats")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """An index that `save` has written. Documents are told apart by their key."""
+    postings, docs, vocabulary, stats = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "docs", "vocabulary", "stats"))
+    n, mean = stats.first()
+    return Index(postings, docs, vocabulary, n, mean or 0.0)
 
 
 def idf(df: Column, n: Column | int) -> Column:
@@ -43,13 +74,13 @@ def idf(df: Column, n: Column | int) -> Column:
     return F.greatest(F.lit(0.0), F.log((n - df + 0.5) / (df + 0.5) + 1))
 
 
-def bm25(ix: Index, weights: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(doc, score) from (term, weight, idf_term): the idf is that of idf_term. Postings are cut to the query's terms
-    before they are joined; a query has few of them."""
-    wanted = F.broadcast(weights)
-    found = ix.postings.select("doc", "term", "tf").join(wanted, "term")
-    counts = ix.postings.join(F.broadcast(weights.select(F.col("idf_term").alias("term")).distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).select(F.col("term").alias("idf_term"), "df")
-    scored = found.join(counts, "idf_term", "left").join(ix.lengths, "doc")
+def bm25(ix: Index, weights: DataFrame, terms: Sequence[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(doc, score) from (term, weight, idf_term): the idf is that of idf_term. Where the terms are known beforehand, as
+    those of a query are, only their postings are read."""
+    postings = ix.postings if terms is None else ix.of(terms)
+    known = ix.vocabulary if terms is None else ix.vocabulary.where(F.col("term").isin(list(dict.fromkeys(terms))))
+    counts = known.select(F.col("term").alias("idf_term"), "df")
+    scored = postings.select("doc", "term", "tf", "length").join(weights.join(counts, "idf_term", "left"), "term")
     tf = F.col("tf") * F.col("times")
     part = F.col("weight") * idf(F.coalesce("df", F.lit(0)), ix.n) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / ix.mean))
     return scored.groupBy("doc").agg(F.sum(part).alias("score"))
@@ -64,7 +95,8 @@ def _weights(ix: Index, terms: Sequence[str]) -> DataFrame:
 
 def search(ix: Index, query: str, limit: int = 100, least: float = 0.0) -> DataFrame:
     """Documents with any term of the query, best first; a repeated term doubles its frequency."""
-    out = bm25(ix, _weights(ix, query_tokens(query)))
+    terms = query_tokens(query)
+    out = bm25(ix, _weights(ix, terms), terms)
     return out.where(F.col("score") >= least).orderBy(F.desc("score"), "doc").limit(limit)
 
 
@@ -72,7 +104,7 @@ def phrase(ix: Index, words: Sequence[str]) -> DataFrame:
     """(doc, n): documents in which the words stand one behind the other, and how often."""
     starts = None
     for i, w in enumerate(words):
-        one = ix.postings.where(F.col("term") == w).select("doc", F.explode("positions").alias("p")).select("doc", (F.col("p") - i).alias("at"))
+        one = ix.of([w]).select("doc", F.explode("positions").alias("p")).select("doc", (F.col("p") - i).alias("at"))
         starts = one if starts is None else starts.join(one, ["doc", "at"], "left_semi")
     return starts.groupBy("doc").agg(F.count("*").alias("n"))
 
@@ -80,13 +112,13 @@ def phrase(ix: Index, words: Sequence[str]) -> DataFrame:
 def phrase_search(ix: Index, query: str, limit: int = 100) -> DataFrame:
     """Documents with the phrase; the score is BM25 of its terms times 1 + log2(1 + count) / 2."""
     words = query_tokens(query)
-    found = bm25(ix, _weights(ix, words)).join(phrase(ix, words), "doc")
+    found = bm25(ix, _weights(ix, words), words).join(phrase(ix, words), "doc")
     out = found.select("doc", (F.col("score") * (1 + 0.5 * F.log2(F.col("n") + 1))).alias("score"), "n")
     return out.orderBy(F.desc("score"), "doc").limit(limit)
 
 
 def docs_with(ix: Index, term: str) -> DataFrame:
-    return ix.postings.where(F.col("term") == term).select("doc").distinct()
+    return ix.of([term]).select("doc").distinct()
 
 
 def parse_marks(query: str) -> dict[str, list[str]]:
@@ -106,7 +138,8 @@ def _matching(ix: Index, part: str) -> DataFrame:
 def marked_search(ix: Index, query: str, limit: int = 100) -> DataFrame:
     """Search with `+required -excluded "phrase"`: semi joins and anti joins before the score."""
     marks = parse_marks(query)
-    scored = bm25(ix, _weights(ix, [t for k in ("required", "phrases", "plain") for p in marks[k] for t in query_tokens(p)]))
+    terms = [t for k in ("required", "phrases", "plain") for p in marks[k] for t in query_tokens(p)]
+    scored = bm25(ix, _weights(ix, terms), terms)
     for p in marks["required"] + marks["phrases"]:
         scored = scored.join(_matching(ix, p), "doc", "left_semi")
     for p in marks["excluded"]:
@@ -117,7 +150,7 @@ def marked_search(ix: Index, query: str, limit: int = 100) -> DataFrame:
 def boolean_docs(ix: Index, query: str) -> DataFrame:
     """Documents that satisfy a query of AND, OR, NOT, parentheses and quoted phrases; words side by side mean OR."""
     parts = re.findall(r'\(|\)|"[^"]*"|[^\s()"]+', query)
-    everything = ix.lengths.select("doc")
+    everything = ix.docs.select("doc")
 
     def either(i: int) -> tuple[DataFrame, int]:
         left, i = both(i)
@@ -154,7 +187,7 @@ def fuzzy_weights(ix: Index, query: str, most: int = 2) -> DataFrame:
     spark = ix.postings.sparkSession
     exact = spark.createDataFrame(made, "term string, weight double, idf_term string, times int")
     long = [t for t, *_ in made if len(t) >= FUZZY_LENGTH]
-    vocabulary = ix.postings.select("term").distinct()
+    vocabulary = ix.vocabulary.select("term")
     near = []
     for t in long:
         close = vocabulary.where(F.col("term").startswith(t[:FUZZY_PREFIX]) & (F.abs(F.length("term") - len(t)) <= most) & (F.col("term") != t))
@@ -199,4 +232,4 @@ def bm25_of(tf: int, df: int, n: int, length: float, mean: float) -> float:
     return max(0.0, math.log((n - df + 0.5) / (df + 0.5) + 1)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-__all__ = ["Index", "index", "search", "phrase_search", "marked_search", "boolean_docs", "fuzzy_search", "tf_idf", "highlight", "snippet", "damerau"]
+__all__ = ["Index", "index", "save", "load", "search", "phrase_search", "marked_search", "boolean_docs", "fuzzy_search", "tf_idf", "highlight", "snippet", "damerau"]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from veldoc.functions.vectors import cosine_similarity
 from veldoc.operators.filters import alive, where
 from veldoc.operators.pipeline import null_order
+from veldoc.sources.workspace import kept
 
 
 def forward(df: DataFrame, target: DataFrame, key: str, target_key: str) -> DataFrame:
@@ -19,10 +21,10 @@ def forward(df: DataFrame, target: DataFrame, key: str, target_key: str) -> Data
 
 
 def reverse(df: DataFrame, source: DataFrame, key: str, foreign_key: str, name: str) -> DataFrame:
-    """Each row and the sorted array of the rows that point to it."""
-    pointing = alive(source).groupBy(F.col(foreign_key).alias("_to")).agg(F.array_sort(F.collect_list(F.struct("*"))).alias(name))
-    out = df.join(pointing, df[key] == pointing["_to"], "left").drop("_to")
-    return out.withColumn(name, F.coalesce(name, F.array().cast(pointing.schema[name].dataType)))
+    """Each row with each of the rows that point to it, as a struct: one row for a pair, null where nothing points.
+    However many rows point to one, none is gathered; `hydrate` makes arrays of a bounded number of them."""
+    pointing = alive(source).select(F.col(foreign_key).alias("_to"), F.struct("*").alias(name))
+    return df.join(pointing, df[key] == pointing["_to"], "left").drop("_to")
 
 
 def related(df: DataFrame, target: DataFrame, on: Column, spec: Mapping[str, Any] | None = None, sort: Mapping[str, int] | None = None, limit: int | None = None, offset: int = 0, project: Sequence[str] | None = None) -> DataFrame:
@@ -49,19 +51,27 @@ def hydrate(df: DataFrame, child: DataFrame, key: str, foreign_key: str, name: s
 
 
 def capped_inbound(df: DataFrame, source: DataFrame, key: str, foreign_key: str, id_col: str, most: int) -> DataFrame:
-    """Each row with its inbound ids, `most` at most, and the count of all of them."""
-    ranked = source.withColumn("_rank", F.row_number().over(W.partitionBy(foreign_key).orderBy(id_col)))
-    ids = ranked.groupBy(F.col(foreign_key).alias("_to")).agg(F.array_sort(F.collect_list(F.when(F.col("_rank") <= most, F.col(id_col)))).alias("inbound"), F.count("*").alias("inbound_count"))
-    out = df.join(ids, df[key] == ids["_to"], "left").drop("_to")
+    """Each row with its inbound ids, the `most` least, and the count of all of them. Ranks beyond `most` are dropped
+    before rows are shuffled, and the count is an aggregate."""
+    ranked = source.withColumn("_rank", F.row_number().over(W.partitionBy(foreign_key).orderBy(id_col))).where(F.col("_rank") <= most)
+    ids = ranked.groupBy(F.col(foreign_key).alias("_to")).agg(F.array_sort(F.collect_list(id_col)).alias("inbound"))
+    counts = source.groupBy(F.col(foreign_key).alias("_to")).agg(F.count("*").alias("inbound_count"))
+    out = df.join(counts.join(ids, "_to", "left"), df[key] == F.col("_to"), "left").drop("_to")
     return out.withColumn("inbound", F.coalesce("inbound", F.array().cast(ids.schema["inbound"].dataType))).withColumn("inbound_count", F.coalesce("inbound_count", F.lit(0)))
 
 
+#: Rows of a front of a traversal up to which it is broadcast, so that edges needn't be shuffled.
+FRONT_ROWS = 100_000
+
+
 def hops(start: DataFrame, edges: DataFrame, n: int, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, hop): nodes by the least number of hops from the start, up to n. Each hop keeps new nodes only."""
-    seen = start.select(F.col(node).alias("node")).distinct().withColumn("hop", F.lit(0))
-    front = seen
+    """(node, hop): nodes by the least number of hops from the start, up to n. Each hop keeps new nodes only and is
+    stored; while the front is small it is broadcast to the edges' scan."""
+    seen = front = kept(start.select(F.col(node).alias("node")).distinct().withColumn("hop", F.lit(0)))
     for i in range(1, n + 1):
-        front = front.join(edges, front["node"] == edges[src]).select(F.col(dst).alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(i))
+        small = front.limit(FRONT_ROWS + 1).count() <= FRONT_ROWS
+        reached = edges.join(F.broadcast(front) if small else front, edges[src] == front["node"]).select(F.col(dst).alias("node")).distinct()
+        front = kept(reached.join(seen, "node", "left_anti").withColumn("hop", F.lit(i)))
         seen = seen.unionByName(front)
     return seen
 
@@ -82,11 +92,62 @@ def dangling(edges: DataFrame, targets: DataFrame, target_key: str) -> DataFrame
     return edges.join(targets.select(F.col(target_key).alias("dst")), "dst", "left_anti")
 
 
-def fuzzy(left: DataFrame, right: DataFrame, left_key: str, right_key: str, vector: str, block: str, least: float) -> DataFrame:
-    """(left, right, similarity): for each left row the most similar right row of its block, if similar enough. The block
-    is what bounds the pairs: rows are compared within it only."""
-    a = left.select(F.col(left_key).alias("left"), F.col(vector).alias("_a"), F.col(block).alias("_block"))
-    b = right.select(F.col(right_key).alias("right"), F.col(vector).alias("_b"), F.col(block).alias("_block"))
-    pairs = a.join(b, "_block").where("left <> right").select("left", "right", cosine_similarity(F.col("_a"), F.col("_b")).alias("similarity"))
+#: Vectors of a block of either side of a fuzzy relation.
+BLOCK = 2048
+
+
+def _packed(df: DataFrame, name: str, blocks: int) -> DataFrame:
+    """Blocks (dim, name) of rows (key, v), packed; a block has about BLOCK vectors."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.array(rows["v"].tolist(), np.float64)
+        return pd.DataFrame({"dim": [vectors.shape[1]], name: [int(rows["block"].iloc[0])], f"{name}_keys": [rows["key"].to_numpy(np.int64).tobytes()], f"{name}_vectors": [vectors.tobytes()]})
+
+    rows = df.where("key is not null and size(v) > 0").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    return rows.groupBy(F.size("v").alias("dim"), "block").applyInPandas(pack, f"dim int, {name} int, {name}_keys binary, {name}_vectors binary")
+
+
+def _best(tiles: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The best right row of each left row of a tile. What a product of matrices finds nearly best is computed anew in
+    order, so that equal vectors tie."""
+    for b in tiles:
+        for dim, lk, lv, rk, rv in zip(b["dim"], b["l_keys"], b["l_vectors"], b["r_keys"], b["r_vectors"]):
+            lk, rk = np.frombuffer(lk, np.int64), np.frombuffer(rk, np.int64)
+            x, y = np.frombuffer(lv).reshape(-1, dim), np.frombuffer(rv).reshape(-1, dim)
+            nx, ny = in_order(x, x) ** 0.5, in_order(y, y) ** 0.5
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near = (x @ y.T) / nx[:, None] / ny[None, :]
+            near = np.where((nx == 0)[:, None] | (ny == 0)[None, :], ((nx == 0)[:, None] & (ny == 0)[None, :]).astype(float), near)
+            near[lk[:, None] == rk[None, :]] = -np.inf
+            i, j = np.nonzero((near >= near.max(axis=1)[:, None] - 1e-9) & (near > -np.inf))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                exact = np.where((nx[i] == 0) | (ny[j] == 0), near[i, j], 1 - (1 - np.clip(in_order(x[i], y[j]) / (nx[i] * ny[j]), -1, 1)))
+            order = np.lexsort((rk[j], -exact, i))
+            first = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])] if len(order) else order
+            yield pd.DataFrame({"left": lk[i[first]], "right": rk[j[first]], "similarity": exact[first]})
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def fuzzy(left: DataFrame, right: DataFrame, left_key: str, right_key: str, vector: str, least: float) -> DataFrame:
+    """(left, right, similarity): for each left row the most similar right row, itself left out, if similar enough; ties to
+    the smaller key. Both sides are packed into blocks, each pair of blocks is a tile that keeps one row for each left
+    row, and the tiles' rows are merged by an aggregate: no pair of rows is ever a row. Keys are integers; null keys and
+    null vectors take no part."""
+    sides = []
+    for df, key, name in ((left, left_key, "l"), (right, right_key, "r")):
+        rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull()))
+        blocks = max(1, -(-rows.count() // BLOCK))
+        sides.append((kept(_packed(rows, name, blocks)), blocks))
+    (a, n_a), (b, n_b) = sides
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tiles = a.withColumn("r", every(n_b)).join(b.withColumn("l", every(n_a)), ["dim", "l", "r"])
+    pairs = tiles.select("dim", "l_keys", "l_vectors", "r_keys", "r_vectors").mapInPandas(_best, "left long, right long, similarity double")
     best = pairs.groupBy("left").agg(F.max(F.struct("similarity", (-F.col("right")).alias("r"))).alias("top"))
     return best.select("left", (-F.col("top.r")).alias("right"), F.col("top.similarity").alias("similarity")).where(F.col("similarity") >= least)

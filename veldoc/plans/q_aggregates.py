@@ -87,7 +87,7 @@ QUERIES = {
     "agg_11_count_accumulator": _group({"$count": {}}, "count(*)"),
     "agg_12_count_stage": (lambda s, d: P.run(table(s, d, "orders"), [{"$match": {"o_orderstatus": "none"}}, {"$count": "n"}]), "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'none'"),
     "agg_13_bucket": (lambda s, d: P.run(table(s, d, "part"), [{"$bucket": {"groupBy": "$p_size", "boundaries": [0, 10, 20, 30], "default": "other", "output": {"n": {"$sum": 1}, "total": {"$sum": "$p_size"}}}}]), "SELECT CASE WHEN p_size >= 0 AND p_size < 10 THEN '0' WHEN p_size < 20 THEN '10' WHEN p_size < 30 THEN '20' ELSE 'other' END AS _id, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total FROM part GROUP BY 1"),
-    "agg_14_facet": (_facet, None),
+    "agg_14_facet": (_facet, """SELECT '[' || string_agg('{"_id":"' || p_brand || '","n":' || n || '}', ',' ORDER BY p_brand) || ']' AS brands, (SELECT '[{"n":' || count(*) || '}]' FROM part) AS total FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 5)"""),
     "agg_15_sample": (lambda s, d: P.run(table(s, d, "customer"), [{"$sample": {"size": 10}}]).agg(F.count("*").alias("n")), "SELECT least(10, count(*)) AS n FROM customer"),
     "mva_01_count": _mva({"$count": "$q"}, "count(q)"),
     "mva_01_count_star": _mva({"$count": "*"}, "count(*)"),
@@ -134,7 +134,7 @@ def _lookup(s, d):
 
 
 def _hydrated(s, d):
-    out = G.hydrate(table(s, d, "customer").where("c_custkey <= 50"), table(s, d, "orders"), "c_custkey", "o_custkey", "top", limit=2, sort={"o_totalprice": -1, "o_orderkey": 1})
+    out = G.hydrate(table(s, d, "customer"), table(s, d, "orders"), "c_custkey", "o_custkey", "top", limit=2, sort={"o_totalprice": -1, "o_orderkey": 1})
     return out.select("c_custkey", F.concat_ws("|", F.transform("top", lambda o: o["o_orderkey"].cast("string"))).alias("top"))
 
 
@@ -142,11 +142,11 @@ def _hops(s, d):
     """Customers that are linked by parts: order to customer, line to part, over two hops from order 1."""
     orders, lines = table(s, d, "orders"), table(s, d, "lineitem")
     a = lines.select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"))
-    edges = a.union(orders.where("o_orderkey <= 100").select(F.concat(F.lit("o"), F.col("o_orderkey")), F.concat(F.lit("c"), F.col("o_custkey"))))
+    edges = a.union(orders.select(F.concat(F.lit("o"), F.col("o_orderkey")), F.concat(F.lit("c"), F.col("o_custkey"))))
     return G.hops(s.createDataFrame([("o1",)], ["node"]), edges.union(edges.select(F.col("dst"), F.col("src"))), 2)
 
 
-_E = "(SELECT 'o' || l_orderkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_orderkey <= 100)"
+_E = "(SELECT 'o' || l_orderkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)"
 _E2 = f"(SELECT src, dst FROM {_E} UNION ALL SELECT dst, src FROM {_E})"
 
 
@@ -155,7 +155,7 @@ def _edges(s, d):
 
 
 def _linked(s, d):
-    edges = _edges(s, d).where("src <= 200")
+    edges = _edges(s, d)
     new = s.range(1, 40).select(F.col("id").alias("src"), (F.col("id") * 7).alias("dst"))
     return G.link(edges, new, table(s, d, "customer").where("c_custkey % 2 = 1"), "c_custkey", single=True)
 
@@ -164,15 +164,15 @@ QUERIES |= {
     "jn_01_lookup": (_lookup, "SELECT r_regionkey, array_to_string(list_sort(list(n_name)), '|') AS names FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),
     "jn_02_joins": (lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n")), "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
     "jn_03_forward": (lambda s, d: G.forward(table(s, d, "nation"), table(s, d, "region"), "n_regionkey", "r_regionkey").select("n_name", "r_name"), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
-    "jn_04_reverse": (lambda s, d: G.reverse(table(s, d, "nation"), table(s, d, "supplier"), "n_nationkey", "s_nationkey", "suppliers").select("n_nationkey", F.size("suppliers").cast("long").alias("n")), "SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
-    "jn_05_related": (lambda s, d: G.related(table(s, d, "customer").where("c_custkey <= 30"), table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), {"o_orderstatus": "O"}, {"o_totalprice": -1, "o_orderkey": 1}, limit=20, offset=5, project=["c_custkey", "o_orderkey"]), "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey <= 30 AND o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5"),
-    "jn_06_hydrate": (_hydrated, "SELECT c_custkey, coalesce(array_to_string(list(o_orderkey ORDER BY r), '|'), '') AS top FROM (SELECT * FROM customer WHERE c_custkey <= 50) LEFT JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders QUALIFY r <= 2) ON c_custkey = o_custkey GROUP BY 1"),
+    "jn_04_reverse": (lambda s, d: G.reverse(table(s, d, "nation"), table(s, d, "supplier"), "n_nationkey", "s_nationkey", "supplier").groupBy("n_nationkey").agg(F.count("supplier").alias("n"), F.max("supplier.s_acctbal").alias("top")), "SELECT n_nationkey, count(s_suppkey) AS n, max(s_acctbal) AS top FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
+    "jn_05_related": (lambda s, d: G.related(table(s, d, "customer"), table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), {"o_orderstatus": "O"}, {"o_totalprice": -1, "o_orderkey": 1}, limit=20, offset=5, project=["c_custkey", "o_orderkey"]), "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5"),
+    "jn_06_hydrate": (_hydrated, "SELECT c_custkey, coalesce(array_to_string(list(o_orderkey ORDER BY r), '|'), '') AS top FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders QUALIFY r <= 2) ON c_custkey = o_custkey GROUP BY 1"),
     "jn_07_capped_inbound": (lambda s, d: G.capped_inbound(table(s, d, "nation"), table(s, d, "customer"), "n_nationkey", "c_nationkey", "c_custkey", 3).select("n_nationkey", F.concat_ws("|", F.transform("inbound", lambda x: x.cast("string"))).alias("inbound"), "inbound_count"), "SELECT n_nationkey, coalesce(array_to_string(list(c_custkey ORDER BY c_custkey) FILTER (r <= 3), '|'), '') AS inbound, count(c_custkey) AS inbound_count FROM nation LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) ON c_nationkey = n_nationkey GROUP BY 1"),
     "jn_09_hops": (_hops, f"SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT 'o1' AS node, 0 AS hop UNION ALL SELECT dst, 1 FROM {_E2} WHERE src = 'o1' UNION ALL SELECT b.dst, 2 FROM {_E2} a JOIN {_E2} b ON a.dst = b.src WHERE a.src = 'o1') GROUP BY 1"),
     "jn_10_semi": (lambda s, d: table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
-    "jn_11_fuzzy": (lambda s, d: G.fuzzy(table(s, d, "embeddings"), table(s, d, "embeddings"), "vec_id", "vec_id", "embedding", "label", 0.2).select("left", "right", F.round("similarity", 6).alias("similarity")), "SELECT \"left\", \"right\", round(s, 6) AS similarity FROM (SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) = 1) WHERE s >= 0.2"),
+    "jn_11_fuzzy": (lambda s, d: G.fuzzy(table(s, d, "embeddings"), table(s, d, "embeddings"), "vec_id", "vec_id", "embedding", 0.2).select("left", "right", F.round("similarity", 6).alias("similarity")), "SELECT \"left\", \"right\", round(s, 6) AS similarity FROM (SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) = 1) WHERE s >= 0.2"),
     "jn_12_expand": (lambda s, d: V.evaluate(V.View("v", "supplier", expand={"nation": ("nation", "s_nationkey", "n_nationkey")}, select=["s_suppkey", "nation_n_name"]), {"supplier": table(s, d, "supplier"), "nation": table(s, d, "nation")}), "SELECT s_suppkey, n_name AS nation_n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey"),
-    "jn_13_link": (_linked, "SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_orderkey <= 200 AND o_orderkey NOT IN (SELECT i FROM (SELECT unnest(range(1, 40)) AS i) JOIN customer ON c_custkey = i * 7 AND c_custkey % 2 = 1) UNION SELECT i, i * 7 FROM (SELECT unnest(range(1, 40)) AS i) JOIN customer ON c_custkey = i * 7 AND c_custkey % 2 = 1"),
+    "jn_13_link": (_linked, "SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_orderkey NOT IN (SELECT i FROM (SELECT unnest(range(1, 40)) AS i) JOIN customer ON c_custkey = i * 7 AND c_custkey % 2 = 1) UNION SELECT i, i * 7 FROM (SELECT unnest(range(1, 40)) AS i) JOIN customer ON c_custkey = i * 7 AND c_custkey % 2 = 1"),
     "jn_14_anti": (lambda s, d: G.dangling(_edges(s, d), table(s, d, "customer").where("c_nationkey <> 3"), "c_custkey").select("src"), "SELECT o_orderkey AS src FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)"),
     "set_01_set_operations": (lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(s, d, "supplier").select("s_nationkey")).union(table(s, d, "nation").select("n_nationkey").exceptAll(table(s, d, "supplier").select("s_nationkey"))), "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey FROM nation EXCEPT ALL SELECT s_nationkey FROM supplier)"),
     "set_02_log_union": (lambda s, d: table(s, d, "events").where("event_id % 2 = 0").unionByName(table(s, d, "events").where("event_id % 3 = 0")).orderBy("ts", "event_id").select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 3 = 0"),

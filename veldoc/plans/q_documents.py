@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from veldoc.operators import graph as G, history as H, statistics as ST, updates as U, views as V
@@ -123,7 +124,7 @@ def _written(kind, read, frame, **options):
 def _wrapped(s, d):
     """Orders as extended JSON, read back without the wrappers."""
     path = f"{scratch(s)}/ext-{uuid.uuid4().hex}"
-    df = table(s, d, "orders").where("o_orderkey <= 400")
+    df = table(s, d, "orders")
     wrap = F.to_json(F.struct(F.struct(F.format_string("%024d", "o_orderkey").alias("$oid")).alias("_id"), F.struct(F.col("o_custkey").cast("string").alias("$numberLong")).alias("customer"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("$date")).alias("at"), "o_orderstatus"))
     df.select(wrap.alias("value")).write.text(path)
     return files.read_extended_json(s, path).select("_id", "customer", F.unix_timestamp("at").alias("at"), "o_orderstatus")
@@ -189,6 +190,17 @@ def _sql(query, **args):
     return run
 
 
+@F.pandas_udf("string")
+def _label(kind: pd.Series, event: pd.Series) -> pd.Series:
+    return kind.str.upper() + ":" + event.astype(str)
+
+
+def _callbacks(s, d):
+    """A callback on the first event of each user: an aggregate finds the event, so no user's events meet in one frame."""
+    first = table(s, d, "events").groupBy("user_id").agg(F.min(F.struct("ts", "event_id", "event_type")).alias("e"))
+    return first.select("user_id", "e.event_id", _label("e.event_type", "e.event_id").alias("label"))
+
+
 _SEL = "SELECT c_custkey, c_name FROM {}customer WHERE (c_mktsegment = 'BUILDING' OR c_nationkey IN (1, 2)) AND c_acctbal >= {} AND c_name LIKE '%1%' ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 2"
 _AGG = "SELECT n_name, count(*) AS n, max(c_acctbal) AS top FROM {0}customer JOIN {0}nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 3"
 
@@ -199,7 +211,7 @@ QUERIES |= {
     "src_04_file_metadata": (lambda s, d: table(s, d, "orders").select("_metadata.file_name").groupBy("file_name").agg(F.count("*").alias("n")), "SELECT 'orders.parquet' AS file_name, count(*) AS n FROM orders"),
     "src_07_json_lines": (_written("json", lambda s, p: files.read_json(s, p).select("n_nationkey", "n_name"), lambda s, d: table(s, d, "nation")), "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation"),
     "src_08_csv": (_written("csv", lambda s, p: s.read.csv(p, schema="p_partkey long, p_name string, p_retailprice double", escape='"', ignoreTrailingWhiteSpace=False), lambda s, d: table(s, d, "part").select("p_partkey", F.concat(F.lit('"'), "p_name", F.lit('", ')).alias("p_name"), "p_retailprice")), "SELECT p_partkey, '\"' || p_name || '\", ' AS p_name, p_retailprice FROM part"),
-    "src_10_extended_json": (_wrapped, "SELECT lpad(CAST(o_orderkey AS VARCHAR), 24, '0') AS _id, o_custkey AS customer, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS at, o_orderstatus FROM orders WHERE o_orderkey <= 400"),
+    "src_10_extended_json": (_wrapped, "SELECT lpad(CAST(o_orderkey AS VARCHAR), 24, '0') AS _id, o_custkey AS customer, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS at, o_orderstatus FROM orders"),
     "src_12_table_versions": (_versions, "SELECT *, 2 AS v FROM nation WHERE n_nationkey < 15 UNION ALL SELECT *, 3 AS v FROM nation WHERE n_nationkey >= 20"),
     "src_14_write_partitioned": (_written("parquet", lambda s, p: s.read.parquet(p).where("o_orderstatus = 'P'").select("o_orderkey"), lambda s, d: table(s, d, "orders"), partition_by=["o_orderstatus"], codec="zstd"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'"),
     "src_16_export_json": (lambda s, d: table(s, d, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("line")), "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS line FROM nation"),
@@ -219,5 +231,5 @@ QUERIES |= {
     "sql_02_parameters": (_sql("SELECT o_orderkey FROM veldoc_orders WHERE o_orderstatus = :status AND o_totalprice BETWEEN :low AND 200000 AND o_orderpriority ILIKE '%urgent%'", status="F", low=50000), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 50000 AND 200000 AND o_orderpriority ILIKE '%urgent%'"),
     "sql_03_join_group": (_sql(_AGG.format("veldoc_")), _AGG.format("")),
     "sql_04_update": (lambda s, d: U.update(table(s, d, "customer").select("c_custkey", "c_mktsegment"), {"c_custkey": {"$lt": 100}}, {"$set": {"c_mktsegment": "NONE"}}), "SELECT c_custkey, CASE WHEN c_custkey < 100 THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment FROM customer"),
-    "udf_01_callbacks": (lambda s, d: table(s, d, "events").groupBy("user_id").applyInPandas(lambda df: df.sort_values(["ts", "event_id"]).head(1)[["user_id", "event_id"]], "user_id long, event_id long"), "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"),
+    "udf_01_callbacks": (_callbacks, "SELECT user_id, event_id, upper(event_type) || ':' || event_id AS label FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"),
 }

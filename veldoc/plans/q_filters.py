@@ -151,12 +151,12 @@ _LINE = "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END"
 
 
 def _expressions(spark, sf, spec):
-    df = table(spark, sf, "lineitem").where("l_orderkey <= 500").withColumn("q", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")))
+    df = table(spark, sf, "lineitem").withColumn("q", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")))
     return P.add_fields(df, {"v": spec}).select("l_orderkey", "l_linenumber", "v")
 
 
 def _exp(spec, sql):
-    return (lambda s, d: _expressions(s, d, spec)), f"SELECT l_orderkey, l_linenumber, {sql} AS v FROM (SELECT *, {_LINE} AS q FROM lineitem WHERE l_orderkey <= 500)"
+    return (lambda s, d: _expressions(s, d, spec)), f"SELECT l_orderkey, l_linenumber, {sql} AS v FROM (SELECT *, {_LINE} AS q FROM lineitem)"
 
 
 QUERIES |= {
@@ -176,7 +176,7 @@ QUERIES |= {
     "exp_14_divide": _exp({"$divide": ["$q", "$q"]}, "CASE WHEN q IS NULL OR q = 0 THEN NULL ELSE q / q END"),
     "exp_15_cond": _exp({"$cond": ["$q", "some", "none"]}, "CASE WHEN q IS NOT NULL AND q <> 0 THEN 'some' ELSE 'none' END"),
     "exp_16_if_null": _exp({"$ifNull": ["$q", -1.0]}, "coalesce(q, -1.0)"),
-    "prj_02_project": (lambda s, d: P.project(table(s, d, "orders").where("o_orderkey < 300"), {"o_orderkey": 1, "shout": {"$toLower": "$o_orderpriority"}}), "SELECT o_orderkey, lower(o_orderpriority) AS shout FROM orders WHERE o_orderkey < 300"),
+    "prj_02_project": (lambda s, d: P.project(table(s, d, "orders"), {"o_orderkey": 1, "shout": {"$toLower": "$o_orderpriority"}}), "SELECT o_orderkey, lower(o_orderpriority) AS shout FROM orders"),
     "prj_03_add_fields": (lambda s, d: P.add_fields(table(s, d, "nation"), {"twice": {"$multiply": ["$n_nationkey", 2]}}), "SELECT *, CAST(n_nationkey * 2 AS DOUBLE) AS twice FROM nation"),
     "prj_04_unset": (lambda s, d: P.run(table(s, d, "nation"), [{"$unset": ["n_name"]}]), "SELECT n_nationkey, n_regionkey FROM nation"),
     "prj_05_replace_root": (lambda s, d: P.run(table(s, d, "nation").select(F.struct("n_nationkey", "n_name").alias("doc")), [{"$replaceRoot": {"newRoot": "$doc"}}]), "SELECT n_nationkey, n_name FROM nation"),
@@ -187,10 +187,10 @@ QUERIES |= {
     "exp_20_status_category": (lambda s, d: table(s, d, "events").select("event_id", X.status_category((100 + F.col("event_id") % 500)).alias("category")), "SELECT event_id, CASE WHEN 100 + event_id % 500 < 200 THEN '1xx' WHEN 100 + event_id % 500 < 300 THEN '2xx' WHEN 100 + event_id % 500 < 400 THEN '3xx' WHEN 100 + event_id % 500 < 500 THEN '4xx' ELSE '5xx' END AS category FROM events"),
     "exp_21_error_class": (lambda s, d: table(s, d, "events").select("event_id", X.error_class(F.concat(F.col("event_type"), F.when(F.col("event_id") % 3 == 0, " timed out").when(F.col("event_id") % 3 == 1, " not found").otherwise(""))).alias("category"), X.severity(100 + F.col("event_id") % 500).alias("severity")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'timeout' WHEN event_id % 3 = 1 THEN 'not_found' ELSE 'unknown' END AS category, CASE WHEN 100 + event_id % 500 >= 500 THEN 'critical' WHEN 100 + event_id % 500 >= 400 THEN 'error' WHEN 100 + event_id % 500 >= 300 THEN 'warning' ELSE 'info' END AS severity FROM events"),
     "exp_22_content_type": (lambda s, d: table(s, d, "events").select("event_id", X.content_type(F.col("props")).alias("kind")), "SELECT event_id, 'json' AS kind FROM events"),
-    "exp_23_code_language": (lambda s, d: table(s, d, "pages").select("page_id", X.code_language(F.col("html")).alias("language")), None),
+    "exp_23_code_language": (lambda s, d: table(s, d, "pages").select("page_id", X.code_language(F.col("html")).alias("language")), r"SELECT page_id, CASE WHEN regexp_matches(html, '(?m)^\s*(def \w+\(|import \w+$|from \w+ import )') THEN 'python' WHEN regexp_matches(html, '\binterface \w+ \{|: (string|number|boolean)\b') THEN 'typescript' WHEN regexp_matches(html, '\b(const|let|var) \w+ =|=>|\bfunction\b') THEN 'javascript' WHEN regexp_matches(html, '\bpublic (static |final )*(class|void)\b') THEN 'java' WHEN regexp_matches(html, '\bfunc \w+\(|\bpackage main\b') THEN 'go' WHEN regexp_matches(html, '\bfn \w+\(|\blet mut\b') THEN 'rust' WHEN regexp_matches(html, '(?i)\bselect\b.+\bfrom\b') THEN 'sql' ELSE 'unknown' END AS language FROM pages"),
     "exp_24_token_estimate": (lambda s, d: table(s, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens")), "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents"),
     "exp_26_djb2": (lambda s, d: table(s, d, "part").select("p_partkey", X.djb2(F.col("p_brand")).alias("h")), "SELECT p_partkey, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(p_brand, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (h * 33 + c) % 4294967296) AS h FROM part"),
     "exp_27_json_path": (lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"),
-    "exp_28_typed_value": (lambda s, d: table(s, d, "lineitem").where("l_orderkey < 200").select("l_orderkey", "l_linenumber", X.typed_value(F.when(F.col("l_linenumber") == 1, F.col("l_orderkey").cast("string")).when(F.col("l_linenumber") == 2, F.lit("true")).when(F.col("l_linenumber") == 3, F.lit("2024-01-02")).when(F.col("l_linenumber") == 4, F.lit("")).otherwise(F.col("l_returnflag"))).alias("kind")), "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'integer' WHEN 2 THEN 'boolean' WHEN 3 THEN 'date' WHEN 4 THEN 'null' ELSE 'string' END AS kind FROM lineitem WHERE l_orderkey < 200"),
+    "exp_28_typed_value": (lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", X.typed_value(F.when(F.col("l_linenumber") == 1, F.col("l_orderkey").cast("string")).when(F.col("l_linenumber") == 2, F.lit("true")).when(F.col("l_linenumber") == 3, F.lit("2024-01-02")).when(F.col("l_linenumber") == 4, F.lit("")).otherwise(F.col("l_returnflag"))).alias("kind")), "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'integer' WHEN 2 THEN 'boolean' WHEN 3 THEN 'date' WHEN 4 THEN 'null' ELSE 'string' END AS kind FROM lineitem"),
     "exp_34_fnv1a": (lambda s, d: table(s, d, "customer").select("c_custkey", F.pmod(X.fnv1a(F.col("c_name")), F.lit(16)).alias("shard")), "SELECT c_custkey, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(c_name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 16 AS shard FROM customer"),
 }

@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one is set only where it has none."""
+    """The checkpoint folder of the session. A temporary one is set only where it has none and all runs on this machine;
+    on a cluster its absence is an error, as executors wouldn't see the driver's folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
         found = tempfile.mkdtemp(prefix="veldoc-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Writes `df` to the shared folder and reads it back, which ends its lineage."""
+    path = f"{scratch(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
