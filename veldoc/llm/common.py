@@ -3,10 +3,11 @@ tables cut off from their lineage, and joins whose broadcast side is counted fir
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: A word is a run of digits, ASCII letters and characters beyond ASCII; this is what stands between words.
 GAP_PATTERN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,9 +35,12 @@ def sha_hex(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A temporary one is set only where the session has none."""
+    """The folder that all executors share. A temporary one is set only where the session has none and all runs on this
+    machine; on a cluster its absence is an error, as executors wouldn't see the driver's folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
         found = tempfile.mkdtemp(prefix="veldoc-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -71,11 +75,22 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(key, size)
 
 
-#: Rows that a broadcast side may have. With the narrow rows used here this is tens of MB.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes that a broadcast side may have.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 
 
-def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if a count shows that it is small, and as it is otherwise,
-    so that the join then shuffles. Count only what is stored: the count reads it once more."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(field: T.StructField) -> Column:
+    """About how many bytes a column takes in a row."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`").alias("x")))), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def counted(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if its rows and bytes are shown to be few, and as it is otherwise, so that the join then
+    shuffles. Count only what is stored: the count reads it once more."""
+    width = functools.reduce(lambda a, b: a + b, map(_width, df.schema.fields))
+    rows, size = df.limit(limit + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if rows <= limit and (size or 0) <= most else df

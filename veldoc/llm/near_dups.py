@@ -295,7 +295,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         merged = components(across).select(F.col("node").alias("group"), F.col("class").alias("merged"))
         members = members.join(merged, "group", "left").withColumn("group", F.coalesce("merged", "group"))
     first = members.where("worded").groupBy("group").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("top"))
-    out = members.join(first, "group", "left")
+    # stored, so that a large class's rows can be split among tasks
+    out = members.join(counted(stored(first, "firsts")), "group", "left")
     is_first = F.coalesce(F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("node") == F.col("top.node")), F.lit(False)) | ~F.col("worded")
     return out.select("doc_id", "node", F.when(F.col("worded"), F.col("least")).otherwise(F.col("doc_id")).alias("class_id"), is_first.alias("is_first"))
 
