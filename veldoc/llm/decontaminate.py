@@ -18,7 +18,7 @@ from veldoc.llm.common import BROADCAST_ROWS, counted, sha_hex, stored, text_key
 WINDOW = 10
 #: Terms of a window whose lists are intersected before words are compared.
 ANCHORS = 3
-#: Rows up to which candidates with their items' words are broadcast (some hundred bytes each).
+#: Rows up to which candidates with their items' words are broadcast; `counted` bounds their bytes too.
 CANDIDATE_ROWS = BROADCAST_ROWS // 10
 _OUT = ("n_words", "n_hit", "hit_items")
 
@@ -67,8 +67,9 @@ def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     index = build_index(docs, items, id_col, text_col, item_col, item_text_col, window)
     need = index.anchors.groupBy("item", "s").agg(F.count("*").alias("need")).groupBy("item").agg(F.min("need").alias("need"))
     whole = index.diagonals.join(counted(stored(need, "need")), "item").where("n >= need")
-    found = whole.select("item", "id", "key", "diag").join(counted(index.items), "item")
-    found = found.groupBy("id", "key").agg(F.collect_list(F.struct("item_id", "diag", "item_words", "len", "windows")).alias("cands"))
+    # an item's words go once into a document's row, however many diagonals it has there
+    found = whole.groupBy("id", "key", "item").agg(F.collect_set("diag").alias("diags")).join(counted(index.items), "item")
+    found = found.groupBy("id", "key").agg(F.collect_list(F.struct("item_id", "diags", "item_words", "len", "windows")).alias("cands"))
     found = counted(stored(found, "candidates"), CANDIDATE_ROWS)
 
     kept = [c for c in docs.columns if c not in _OUT]
@@ -80,11 +81,14 @@ def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     rows = rows.select("row", "cands", found_in.alias("words"), F.size(words(F.col("own_text"))).cast("long").alias("n_words"))
 
     def windows_of(c):
-        def same(s):
-            start = c["diag"] + s
-            return (start >= 0) & (start + c["len"] <= F.size("words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, c["len"]) == F.slice(c["item_words"], s + 1, c["len"]))
+        def on(diag):
+            def same(s):
+                start = diag + s
+                return (start >= 0) & (start + c["len"] <= F.size("words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, c["len"]) == F.slice(c["item_words"], s + 1, c["len"]))
 
-        return F.transform(F.filter(F.sequence(F.lit(0), c["windows"] - 1), same), lambda s: F.struct(c["item_id"].alias("item_id"), (c["diag"] + s).alias("at"), c["len"].alias("len")))
+            return F.transform(F.filter(F.sequence(F.lit(0), c["windows"] - 1), same), lambda s: F.struct(c["item_id"].alias("item_id"), (diag + s).alias("at"), c["len"].alias("len")))
+
+        return F.flatten(F.transform(c["diags"], on))
 
     hits = F.when(F.col("cands").isNotNull(), F.flatten(F.transform("cands", windows_of)))
     rows = rows.select("row", "n_words", hits.alias("hits"))
