@@ -1,7 +1,7 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-All rolling word bigrams of all texts are joined to the places of the bigrams in the templates; a place counts where
-the following words, up to K, are the template's too. Its votes go to the diagonal: place in the text less place in
+The hashes of all rolling word k-grams of all texts are joined to the places of the k-grams in the templates: K words,
+and 2 or 3 for base phrases, which have no more. Each match votes for a diagonal: place in the text less place in
 the template. Votes are summed by text, template and diagonal, diagonals that differ by a few words are merged, and
 a span is a license if enough of its template's grams stand in it. The words themselves are compared, not only hashes.
 """
@@ -37,8 +37,12 @@ TEMPLATES = {
 _OUT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 
+def gram_sizes() -> list[int]:
+    return sorted({min(K, t.count(" ") + 1) for t in (*BASE, *TEMPLATES.values())})
+
+
 def _places(spark: SparkSession) -> DataFrame:
-    """Each place of each template: its bigram's hash, its words up to K, whether it is a base phrase. The templates
+    """Each place of each template: the hash of its words up to K, these words, whether it is a base phrase. The templates
     are those above, so this table is of a fixed size (some hundred rows) and may be broadcast."""
     rows = []
     for base, source in ((True, BASE.items()), (False, ((t, n) for n, t in TEMPLATES.items()))):
@@ -47,16 +51,17 @@ def _places(spark: SparkSession) -> DataFrame:
             k = min(K, len(w))
             rows += [(text, label, base, i, len(w) - k + 1, w[i : i + k]) for i in range(len(w) - k + 1)]
     places = spark.createDataFrame(rows, "template string, label string, base boolean, at int, grams int, gram array<string>")
-    return places.withColumn("t2", F.xxhash64(F.element_at("gram", 1), F.element_at("gram", 2)))
+    return places.withColumn("hash", F.xxhash64("gram"))
 
 
 def license_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, template, label, base, diag, first, last, votes): diagonals with the first and last place in the text."""
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), words(F.col(text_col)).alias("words"))
-    grams = texts.select("id", "key", "words", F.posexplode("words").alias("pos", "w")).where(F.col("pos") + 1 < F.size("words"))
-    grams = grams.withColumn("t2", F.xxhash64("w", F.get("words", F.col("pos") + 1)))
+    hashes = [F.xxhash64(F.slice("words", F.col("pos") + 1, k)) for k in gram_sizes()]
+    grams = texts.where(F.size("words") > 1).select("id", "key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 2)).alias("pos"))
+    grams = grams.select("id", "key", "words", "pos", F.explode(F.array(*hashes)).alias("hash"))
     places = F.broadcast(_places(docs.sparkSession))
-    same = (grams["t2"] == places["t2"]) & (F.slice(grams["words"], grams["pos"] + 1, F.size(places["gram"])) == places["gram"])
+    same = (grams["hash"] == places["hash"]) & (F.slice(grams["words"], grams["pos"] + 1, F.size(places["gram"])) == places["gram"])
     votes = grams.join(places, same).groupBy("id", "key", "template", "label", "base", "grams", (F.col("pos") - F.col("at")).alias("diag"))
     return votes.agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("at"))
 
