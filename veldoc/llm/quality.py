@@ -126,25 +126,48 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([b.column("node").slice(lo, hi - lo), b.column("quality").slice(lo, hi - lo), b.column("toxic").slice(lo, hi - lo), lists, shapes], ["node", "quality", "toxic", "words", "shape"])
 
 
+def _telling(rows: DataFrame) -> list[int]:
+    """The words that tell most about either label, FIT_WORDS for each: counted and ranked by grouped aggregates."""
+    bad = {"poor": (F.col("quality") == 0).cast("double"), "toxic": (F.col("toxic") == 1).cast("double")}
+    n, *sums = rows.agg(F.count("*"), *[F.sum(b) for b in bad.values()]).first()
+    if not n:
+        return []
+    counts = rows.select(F.explode("words").alias("word"), *[b.alias(c) for c, b in bad.items()]).groupBy("word")
+    counts = stored(counts.agg(F.count("*").alias("seen"), *[F.sum(c).alias(c) for c in bad]).where(F.col("seen") >= MIN_ROWS), "words")
+    out: set[int] = set()
+    for c, total in zip(bad, sums):
+        base = total / n
+        chi = (F.col(c) - F.col("seen") * base) ** 2 / F.greatest(F.col("seen") * (base * (1 - base)), F.lit(1e-9))
+        out |= {r["word"] for r in counts.orderBy(F.desc(chi), "word").limit(FIT_WORDS).collect()}
+    return sorted(out)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:
-    """Fits both models to the labelled rows of least hash, `rows` at most; equal texts count once. Labels that are
-    null count as 1 for quality and 0 for toxic. Without any labelled text all documents are good."""
+    """Fits both models to the labelled rows of least hash, `rows` at most. Equal texts count once; of labels that
+    contradict each other the worst holds (quality 0, toxic 1). Labels that are null count as 1 for quality and 0 for
+    toxic. Without any labelled text all documents are good.
+
+    What goes to the driver is bounded by `rows` and FIT_WORDS, however long the texts are and however often they repeat.
+    """
     small_batches(docs.sparkSession)
     sample = labels.select(F.col(id_col).alias("label_id"), F.coalesce("quality", F.lit(1)).cast("int").alias("quality"), F.coalesce("toxic", F.lit(0)).cast("int").alias("toxic"))
-    sample = sample.where(F.col("label_id").isNotNull()).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
+    sample = sample.where(F.col("label_id").isNotNull()).orderBy(F.xxhash64("label_id"), "label_id", "quality", F.desc("toxic")).limit(rows)
+    texts = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(sample), "label_id").withColumn("node", text_key(F.col("text")))
+    found = found.groupBy("node").agg(F.first("text").alias("text"), F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     schema = "node long, quality int, toxic int, words array<long>, shape array<double>"
-    got = found.select("text", "node", "quality", "toxic").mapInArrow(_distinct_words, schema).toArrow()
+    held = stored(found.select("text", "node", "quality", "toxic").mapInArrow(_distinct_words, schema), "labelled")
+    names = _telling(held)
+    chosen = F.filter("words", lambda w: w.isin(names)) if names else F.array().cast("array<long>")
+    got = held.select("node", "quality", "toxic", chosen.alias("words"), "shape").toArrow()
     if got.num_rows == 0:
         none = Logistic(np.zeros(0, np.uint64), np.zeros(N_SHAPE), np.ones(N_SHAPE), np.concatenate([np.zeros(N_SHAPE), [-20.0]]))
         return Model(none, none)
-    _, keep = np.unique(got.column("node").to_numpy(), return_index=True)
-    got = got.take(pa.array(keep)).combine_chunks()
+    got = got.sort_by("node").combine_chunks()
     lists = got.column("words").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy())
-    owner, hashes = np.repeat(np.arange(len(keep)), sizes), lists.flatten().to_numpy().view(np.uint64)
+    owner, hashes = np.repeat(np.arange(got.num_rows), sizes), lists.flatten().to_numpy().view(np.uint64)
     shape = np.array(got.column("shape").to_pylist())
     return Model(fit_logistic(shape, owner, hashes, (got.column("quality").to_numpy() == 0).astype(float)), fit_logistic(shape, owner, hashes, (got.column("toxic").to_numpy() == 1).astype(float)))
 
