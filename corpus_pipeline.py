@@ -54,9 +54,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each secret is replaced by a mark."""
+    import public_tokenizers
+
     from veldoc.llm.secrets import redact
 
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return redact(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,9 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+needs_tokenizers = pytest.mark.skipif(importlib.util.find_spec("tokenizers") is None, reason="no tokenizers")
+
+
 def words(t):
     return WORD.findall((t or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
@@ -275,6 +278,72 @@ def test_sites_shrink(spark):
     assert got["big"] > 0.8 and got["other"] < 0.2 and base - 0.05 < got["tiny"] < 0.7
 
 
+def brute_rates(rows):
+    """Shrunken shares by plain sums: {(host, path): (host_rate, path_rate)} and the global share."""
+    clip = lambda x: min(1 - quality.EPS, max(quality.EPS, x))
+    paths, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for host, path, bad in rows:
+        paths[host, path].append(bad)
+        hosts[host].append(bad)
+    base = clip(sum(bad for *_, bad in rows) / len(rows))
+
+    def strength(groups):
+        n = sum(len(g) for g, _ in groups)
+        spread = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in groups) / n
+        noise, level = sum(m * (1 - m) for _, m in groups) / n, sum(len(g) * m * (1 - m) for g, m in groups) / n
+        return min(1e6, max(10.0, level / max(spread - noise, 1e-9)))
+
+    k = strength([(g, base) for g in hosts.values()])
+    host_rate = {h: clip((sum(g) + k * base) / (len(g) + k)) for h, g in hosts.items()}
+    k = strength([(g, host_rate[h]) for (h, _), g in paths.items()])
+    return {(h, p): (host_rate[h], clip((sum(g) + k * host_rate[h]) / (len(g) + k))) for (h, p), g in paths.items()}, base
+
+
+def test_rates_equal_brute_force(spark):
+    r = random.Random(15)
+    lean = {h: r.random() for h in "abcdefgh"}
+    rows = [(h, r.choice("xyz"), min(1.0, max(0.0, r.gauss(lean[h], 0.2)))) for h in r.choices("abcdefgh", [400, 90, 20, 5, 1, 1, 30, 60], k=900)]
+    need, base = brute_rates(rows)
+    rates, got_base = quality.site_rates(spark.createDataFrame(rows, "host string, path string, bad double"))
+    got = {(x["host"], x["path"]): (x["host_rate"], x["path_rate"]) for x in rates.collect()}
+    assert got_base == pytest.approx(base) and got.keys() == need.keys()
+    for key in need:
+        assert got[key] == pytest.approx(need[key])
+
+
+def test_op6_equals_brute_force(spark, sf):
+    """The query's chances from the evidence of the texts and the rates by plain sums."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    keyed = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path"), F.col("text").alias("text_in"))
+    own = quality._evidence(keyed, model, ["doc_id", "host", "path"]).collect()
+    chance = lambda x: 1 / (1 + np.exp(-x))
+    odds = lambda p: np.log(p / (1 - p))
+    rates, base = brute_rates([(x["host"], x["path"], 1 - (1 - chance(x["poor_"])) * (1 - chance(x["toxic_"]))) for x in own])
+    got = {x["doc_id"]: x for x in quality.op6_quality(spark, sf).collect()}
+    assert len(got) == len(own)
+    for x in own:
+        host_rate, path_rate = rates[x["host"], x["path"]]
+        shift = min(quality.MOST_SHIFT, max(-quality.MOST_SHIFT, odds(path_rate) - odds(base)))
+        poor, toxic = chance(x["poor_"] + shift), chance(x["toxic_"] + shift)
+        y = got[x["doc_id"]]
+        assert (y["poor"], y["toxic"], y["host_rate"], y["path_rate"]) == pytest.approx((poor, toxic, host_rate, path_rate), rel=1e-6, abs=1e-9)
+        assert y["keep"] == (y["bad"] < 0.5) and y["bad"] == pytest.approx(1 - (1 - poor) * (1 - toxic))
+
+
+def test_fit_of_contradicting_labels(spark):
+    """Labels in either order, repeated rows and one very long text: the same model, of the worst labels."""
+    r = random.Random(3)
+    docs = [(i, f"{'bad awful' if i % 3 == 0 else 'fine good'} {prose(30, i)}") for i in range(60)] * 3 + [(99, "word " * 200_000)]
+    labels = [(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(60)] + [(3, 1, 0), (6, 1, 1), (99, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    models = []
+    for _ in range(2):
+        r.shuffle(labels)
+        models.append(quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    assert np.array_equal(models[0].poor.weights, models[1].poor.weights) and np.array_equal(models[0].toxic.words, models[1].toxic.words)
+
+
 def test_quality_odd(spark, odd, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.fit(docs, labels)
@@ -416,6 +485,21 @@ def test_secrets_are_whole():
             assert (secrets.guess_cost(v, enough) >= enough) == (secrets.guess_cost(v) >= enough)
 
 
+@needs_tokenizers
+def test_secrets_by_dictionary():
+    """Generated passwords are found, words of prose in the same places aren't."""
+    import public_tokenizers
+
+    ranks = secrets.dictionary(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(ranks) > 20_000 and ranks["password"] == 1
+    r = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    plain = [w for w in list(ranks)[:8000] if len(w) >= 6]
+    alarms = [k for k in range(500) for *_, kind in secrets.scan(f"pwd: {r.choice(plain)} and", ranks=ranks) if kind == 3]
+    found = [k for k in range(500) if any(kind == 3 for *_, kind in secrets.scan(f"pwd: {''.join(r.choices(letters, k=r.randint(9, 20)))} and", ranks=ranks))]
+    assert not alarms and len(found) == 500
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < cost("P@ssw0rd") < cost("xkqvzjwp") and cost("aaaaaaaa") < 3 and cost("qwertyuiop") < 4 and cost("19990412") < 5 and cost("f3ef4d6b2755a36d7d9c25bd") > 20
@@ -498,7 +582,6 @@ def test_dart_signatures_estimate_weighted_similarity():
 
 # BPE
 
-needs_tokenizers = pytest.mark.skipif(importlib.util.find_spec("tokenizers") is None, reason="no tokenizers")
 
 
 @needs_tokenizers
@@ -580,7 +663,7 @@ def test_pipeline_equals_brute_force(spark, sf, texts):
 
     def redacted(t):
         out, at = [], 0
-        for a, b, _ in secrets.scan(t):
+        for a, b, _ in secrets.scan(t, ranks=secrets.dictionary(public_tokenizers.path("word_bpe_49k.json"))):
             out += [t[at:a], "[SECRET]"] if a >= at else []
             at = max(at, b)
         return "".join(out) + t[at:]

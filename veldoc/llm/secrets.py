@@ -3,7 +3,8 @@
 Base spans come from three fixed patterns. Beside them, the values that stand in a credential context
 (a word such as password, key or bearer, then a separator) are scored by the number of guesses a password
 cracker would need: dynamic programming splits the value at least cost into dictionary words, dates, repeats,
-keyboard walks and brute-force spans. A value that takes `min_log10` guesses or more is a span of kind `guess`.
+keyboard walks and brute-force spans. The dictionary is a short list of common passwords and, where a tokenizer's file
+is named, the words of its vocabulary in the order of its merges, which follows their frequency (tens of thousands). A value that takes `min_log10` guesses or more is a span of kind `guess`.
 
 Every row is scanned by itself, so nothing is shuffled and a lost executor costs its own rows only.
 """
@@ -11,9 +12,11 @@ Every row is scanned by itself, so nothing is shuffled and a lost executor costs
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -47,7 +50,19 @@ def _near(a: str, b: str) -> bool:
     return bool(p and q) and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
+@lru_cache(2)
+def dictionary(tokenizer: str | None) -> dict[str, int]:
+    """Rank of each word of 3 to 12 letters: common passwords first, then whole words of a tokenizer's vocabulary."""
+    if tokenizer is None:
+        return RANK
+    with open(tokenizer, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    found = (t.removesuffix("</w>").removeprefix("\u0120") for t in sorted(vocab, key=vocab.get) if t.endswith("</w>") or t.startswith("\u0120"))
+    names = dict.fromkeys([*COMMON, *(w.lower() for w in found if 3 <= len(w) <= 12 and w.isascii() and w.isalpha())])
+    return {w: i + 1 for i, w in enumerate(names)}
+
+
+def guess_cost(value: str, enough: float = math.inf, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses for the cheapest split of `value` into spans.
 
     A word costs its rank (doubled where it has capitals or digits for letters), a date 365 days times 100 years at
@@ -87,7 +102,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         for size in range(3, min(i, 12) + 1):
             j = i - size
             for form, factor in ((low[j:i], 1), (plain[j:i], 2)):
-                if rank := RANK.get(form):
+                if rank := ranks.get(form):
                     cased = 2 if value[j:i] != low[j:i] else 1
                     best[i] = min(best[i], joined(j) + math.log10(rank * factor * cased + 1))
         for j in dates.get(i, ()):
@@ -107,7 +122,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     return best[n]
 
 
-def scan(text: str | None, min_log10: float = 8.0) -> list[tuple[int, int, int]]:
+def scan(text: str | None, min_log10: float = 8.0, ranks: dict[str, int] = RANK) -> list[tuple[int, int, int]]:
     """(start, end, kind) of every span of one text, in code points, by start, then kind."""
     if not text:
         return []
@@ -120,27 +135,28 @@ def scan(text: str | None, min_log10: float = 8.0) -> list[tuple[int, int, int]]
     out += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     values = [m.span(1) for m in CONTEXT.finditer(text)] if any(part in low for part in CONTEXT_PARTS) else []
     values += [ASSIGN.match(text, a).span(2) for a, b, k in out if k == 0]
-    out += [(a, b, 3) for a, b in sorted(set(values)) if guess_cost(text[a:b], min_log10) >= min_log10]
+    out += [(a, b, 3) for a, b in sorted(set(values)) if guess_cost(text[a:b], min_log10, ranks) >= min_log10]
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", out_col: str = "secret_spans", min_log10: float = 8.0) -> DataFrame:
+def find_secrets(df: DataFrame, text_col: str = "text", out_col: str = "secret_spans", min_log10: float = 8.0, tokenizer: str | None = None) -> DataFrame:
     """`df` and an array of struct(kind, start, end, text): all spans of the text by start, then kind.
 
     Null and empty texts have an empty array. Rows are kept as they are, repeated ones too. A column that has the
-    name `out_col` is replaced. Values of any length are judged in full, and their spans are whole.
+    name `out_col` is replaced. Values of any length are judged in full, and their spans are whole. `tokenizer`: path of
+    a tokenizer's file, on all executors, whose vocabulary is the dictionary.
     """
 
     small_batches(df.sparkSession)
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int,text:string>>")
     def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": KINDS[k], "start": a, "end": b, "text": t[a:b]} for a, b, k in scan(t, min_log10)] for t in texts])
+        return pd.Series([[{"kind": KINDS[k], "start": a, "end": b, "text": t[a:b]} for a, b, k in scan(t, min_log10, dictionary(tokenizer))] for t in texts])
 
     return df.withColumn(out_col, spans(F.col(text_col)))
 
 
-def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", min_log10: float = 8.0, tokenizer: str | None = None) -> DataFrame:
     """Every span of the text replaced by `mark`, overlapping spans by one. Null stays null."""
 
     small_batches(df.sparkSession)
@@ -148,7 +164,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> str | None:
-            found, out, at = scan(t), [], 0
+            found, out, at = scan(t, min_log10, dictionary(tokenizer)), [], 0
             for a, b, _ in found:
                 if a >= at:
                     out += [t[at:a], mark]
@@ -162,6 +178,8 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
     """Counts of the base kinds, a digest of base spans and all spans, for each row of `documents`."""
+    import public_tokenizers
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,5 +192,5 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
                 out.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(all_of)))
             yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])], axis=1)
 
-    found = find_secrets(docs, out_col="spans").select("doc_id", "spans")
+    found = find_secrets(docs, out_col="spans", tokenizer=public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "spans")
     return found.mapInPandas(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
