@@ -104,13 +104,44 @@ def test_nearest_odd_vectors(spark):
     assert nearest.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
-def test_quantisation_bound_holds():
+@pytest.mark.parametrize("dim, n", [(1536, 260), (16, 700)])
+def test_tiles_hold_the_best(dim, n, k=5):
+    """Bounds of a tile hold the products, and few candidates stay beside the best."""
     r = np.random.default_rng(2)
-    a, b = r.normal(size=(50, 16)), r.normal(size=(60, 16)) * 10
-    (qa, sa), (qb, sb) = nearest.quantised(a), nearest.quantised(b)
-    near = (qa @ qb.T) * sa[:, None] * sb
-    room = (np.abs(qa).sum(1)[:, None] * sa[:, None] * sb + sa[:, None] * np.abs(b).sum(1)) / 2
-    assert (np.abs(a @ b.T - near) <= room + 1e-9).all()
+    a, b = r.normal(size=(50, dim)), r.normal(size=(n, dim)) * r.uniform(0.1, 10, size=(n, 1))
+    blocks = []
+    for v, asks in ((a, False), (b, False)):
+        row = nearest._pack(__import__("pandas").DataFrame({"id": np.arange(len(v)), "key": np.arange(len(v)), "v": list(v), "dim": dim, "block": 0, "asks": asks})).iloc[0]
+        blocks.append(nearest.Block(dim, *row[list(nearest._PACKED)]))
+    assert (nearest.products(blocks[0].high, blocks[1].high) == blocks[0].high.astype(int) @ blocks[1].high.astype(int).T).all()
+    true = a @ b.T
+    for i, _, top, bottom, j in nearest.tile_best(*blocks, k):
+        assert (top >= true[i, j]).all() and (bottom <= true[i, j]).all() and len(j) <= k + 3
+        best = [x for x in np.argsort(-true[i]) if x != i][:k]
+        assert set(best) <= set(j.tolist())
+
+
+def test_nearest_of_many_blocks(spark, monkeypatch):
+    """Many tiles and merges, repeated ids with other vectors, repeated rows, more equal vectors than places."""
+    for name, value in (("CANDIDATES", 40), ("QUERIES", 20), ("MERGE", 3)):
+        monkeypatch.setattr(nearest, name, value)
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=12).astype(np.float32).tolist()) for i in range(500)]
+    rows += [(700 + i, rows[40][1]) for i in range(90)]
+    df = spark.createDataFrame([*rows, *rows[:50], *[rows[7]] * 300], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for x in nearest.nearest(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append(x["vec_id"])
+    assert dict(got) == brute_nearest(rows, lambda i: i % 20 == 0, 20)
+
+
+def test_nearest_of_extreme_vectors(spark):
+    rows = [(0, [1e200, 3.0]), (20, [5e-324, 0.0]), (1, [1e-200, 1.0]), (2, [5e-324, 5e-324]), (3, [1e300, -1.0]), (4, [-1e300, 1.0]), (5, [3.0, 1.0]), (6, [3.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for x in nearest.nearest(df, F.col("vec_id") % 20 == 0, 4).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append(x["vec_id"])
+    assert dict(got) == brute_nearest(rows, lambda i: i % 20 == 0, 4)
 
 
 # chats

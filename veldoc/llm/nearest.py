@@ -1,9 +1,11 @@
 """Nearest neighbours by a block matrix join.
 
-Queries and candidates are packed into blocks by a hash of their ids. Each pair of blocks is a tile. In a tile the
-vectors, quantised to int8, are multiplied; with the error bounds of the quantisation a candidate stays for a query if
-it can still be among the k best of the tile. These survivors are recomputed in double precision. The tiles' best
-lists are merged by heaps, MERGE lists at a time. The result is exact.
+Queries and candidates are packed into blocks by a hash of their ids: int8 codes of the components, int8 codes of what
+the first leave over, a scale for each vector. Each pair of blocks is a tile, and only codes are moved to it. In a
+tile the first codes are multiplied; with the error bounds of the quantisation a candidate stays for a query if it can still be
+among the k best of the tile, and the second codes narrow the bounds of those that stay. The tiles' lists are merged by
+heaps, MERGE lists at a time, as far as bounds allow. What survives, little more than k for a query, is recomputed in
+double precision from the original vectors. The result is exact.
 """
 
 from __future__ import annotations
@@ -14,12 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import DoubleType
 
-from veldoc.llm.common import small_batches, stored
+from veldoc.llm.common import counted, small_batches, stored
 
 #: Vectors of a block of candidates and of queries, rows of a tile that are multiplied at a time, lists merged at a time.
 CANDIDATES, QUERIES, STRIP, MERGE = 4096, 2048, 128, 64
+#: Components whose products of codes are exact in float32.
+EXACT = 1024
+#: Steps of the second code in a step of the first one.
+FINE = 254
+#: Largest components within which bounds are taken; a candidate beyond stays in any case.
+TINY, HUGE = 1e-290, 1e290
 
 
 def usable(vector: Column) -> Column:
@@ -28,63 +37,116 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _pack(kept: int):
-    """Packs a block. Of equal vectors only the `kept` least ids can be among the nearest; of rows that repeat an id and
-    a vector one stays."""
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes, int8 codes of the rest, scale and sum of magnitudes of each row. The scale is NaN where the largest
+    component is too large or small for bounds."""
+    most = np.abs(x).max(axis=1)
+    scale = np.where((most >= TINY) & (most <= HUGE), most / 127, np.nan)
+    with np.errstate(invalid="ignore", over="ignore"):
+        parts = np.nan_to_num(x / scale[:, None])
+        high = np.rint(parts)
+        low = np.clip(np.rint((parts - high) * FINE), -127, 127)
+        return high.astype(np.int8), low.astype(np.int8), scale, np.abs(x).sum(axis=1)
 
-    def pack(df: pd.DataFrame) -> pd.DataFrame:
-        ids, vectors = df["id"].to_numpy(np.int64), np.array(df["v"].tolist(), np.float64)
-        keys, same = np.unique(vectors.view([("", vectors.dtype)] * vectors.shape[1]).ravel() if vectors.shape[1] > 1 else vectors.ravel(), return_inverse=True)
-        order = np.lexsort((ids, same.ravel()))
-        ids, vectors, same = ids[order], vectors[order], same.ravel()[order]
-        new = np.concatenate([[True], (same[1:] != same[:-1]) | (ids[1:] != ids[:-1])])
-        ids, vectors, same = ids[new], vectors[new], same[new]
-        head = np.searchsorted(same, same)
-        few = np.arange(len(ids)) - head < kept
-        return pd.DataFrame({"dim": [int(df["dim"].iloc[0])], "block": [int(df["block"].iloc[0])], "ids": [ids[few].tobytes()], "vectors": [vectors[few].tobytes()]})
 
-    return pack
+def _pack(df: pd.DataFrame) -> pd.DataFrame:
+    ids, keys, vectors = df["id"].to_numpy(np.int64), df["key"].to_numpy(np.int64), np.array(df["v"].tolist(), np.float64)
+    if df["asks"].iloc[0]:  # a query's order doesn't change with its scale; a power of two changes no digit
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+    high, low, scale, size = quantised(vectors)
+    return pd.DataFrame({"dim": [int(df["dim"].iloc[0])], "block": [int(df["block"].iloc[0])], **{n: [x.tobytes()] for n, x in zip(_PACKED, (ids, keys, high, low, scale, size))}})
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """int8 rows (held as float32, in which their products are exact) and the scale of each."""
-    scale = np.abs(x).max(axis=1) / 127
-    return np.rint(x / scale[:, None]).astype(np.float32), scale
+_PACKED = ("ids", "keys", "high", "low", "scale", "size")
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows, summed from the first component to the last."""
     out = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        out += a[:, j] * b[:, j]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(a.shape[1]):
+            out += a[:, j] * b[:, j]
     return out
 
 
-def tile_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, list[int], list[float]]]:
-    """For each query of a tile its k best candidates, by score, then id."""
-    qq, qs = quantised(q)
-    cq, cs = quantised(c)
-    # |a.b - sa sb qa.qb| <= sb/2 |sa qa|_1 + sa/2 |b|_1, as no component is off by more than half a step
-    q1, c1 = np.abs(qq).sum(axis=1) * qs, np.abs(c).sum(axis=1)
-    for at in range(0, len(q), STRIP):
+@F.pandas_udf(DoubleType())
+def _score(a: pd.Series, b: pd.Series) -> pd.Series:
+    sizes, out = a.map(len).to_numpy(), np.zeros(len(a))
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        out[at] = inner(np.array(a.iloc[at].tolist(), np.float64), np.array(b.iloc[at].tolist(), np.float64))
+    return pd.Series(out)
+
+
+class Block:
+    """An unpacked block of codes."""
+
+    def __init__(self, dim: int, ids: bytes, keys: bytes, high: bytes, low: bytes, scale: bytes, size: bytes):
+        self.ids, self.keys = np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64)
+        self.high, self.low = (np.frombuffer(x, np.int8).reshape(-1, dim) for x in (high, low))
+        self.scale, self.size = np.frombuffer(scale), np.frombuffer(size)
+        # magnitudes of what the codes stand for: first codes alone, and both
+        self.coarse = np.abs(self.high.astype(np.float64)).sum(axis=1) * self.scale
+        self.codes = self.high.astype(np.float64) * FINE + self.low
+        self.fine = np.abs(self.codes).sum(axis=1) * self.scale / FINE
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of rows of int8 codes: in float32 for EXACT components at a time."""
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, a.shape[1], EXACT):
+        out += a[:, at : at + EXACT].astype(np.float32) @ b[:, at : at + EXACT].astype(np.float32).T
+    return out
+
+
+def _least(low: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, -inf where there are fewer."""
+    if k >= low.shape[1]:
+        return np.full(len(low), -np.inf)
+    return np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
+
+
+def tile_best(q: Block, c: Block, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query of a tile: id, key, and upper bounds, lower bounds and places of the candidates that can be among
+    its k best. A product of codes is off by half a step of either side at most: |a.b - a'.b'| <= |a - a'||b| + |a'||b - b'|."""
+    slack = 1 + 1e-9
+    for at in range(0, len(q.ids), STRIP):
         s = slice(at, at + STRIP)
-        near = (qq[s] @ cq.T).astype(np.float64) * qs[s, None] * cs[None, :]
-        room = (q1[s, None] * cs[None, :] + qs[s, None] * c1[None, :]) / 2 * (1 + 1e-9) + 1e-12
-        own = qid[s, None] == cid[None, :]
-        low = np.where(own, -np.inf, near - room)
-        if k < low.shape[1]:
-            least = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-        else:
-            least = np.full(len(low), -np.inf)
-        i, j = np.nonzero((near + room >= least[:, None]) & ~own)
-        score = inner(q[at + i], c[j])
-        order = np.lexsort((cid[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
+        own = q.ids[s, None] == c.ids[None, :]
+        with np.errstate(invalid="ignore"):
+            near = products(q.high[s], c.high) * (q.scale[s, None] * c.scale[None, :])
+            room = (q.coarse[s, None] * c.scale[None, :] + q.scale[s, None] * c.size[None, :]) / 2 * slack
+        low, high = (np.where(np.isfinite(room), near + sign * room, sign * np.inf) for sign in (-1, 1))
+        low[own] = -np.inf
+        i, j = np.nonzero((high >= _least(low, k)[:, None]) & ~own)
+        del near, room
+        with np.errstate(invalid="ignore"):
+            exact = np.einsum("ij,ij->i", q.codes[at + i], c.codes[j]) * (q.scale[at + i] * c.scale[j] / FINE**2)
+            room = (q.fine[at + i] * c.scale[j] + q.scale[at + i] * c.size[j]) / (2 * FINE) * slack
+        fits = np.isfinite(room)
+        top, bottom = np.where(fits, exact + room, np.inf), np.where(fits, exact - room, -np.inf)
+        order = np.lexsort((-top, i))
+        i, j, top, bottom = i[order], j[order], top[order], bottom[order]
         ends = np.searchsorted(i, np.arange(len(low) + 1))
         for r in range(len(low)):
-            a, b = ends[r], min(ends[r + 1], ends[r] + k)
+            a, b = ends[r], ends[r + 1]
             if b > a:
-                yield int(qid[at + r]), cid[j[a:b]].tolist(), score[a:b].tolist()
+                least = _least(bottom[None, a:b], k)[0]
+                stay = a + np.flatnonzero(top[a:b] >= least)
+                yield int(q.ids[at + r]), int(q.keys[at + r]), top[stay], bottom[stay], j[stay]
+
+
+def _merged(runs: list[list[tuple[float, float, int]]], k: int) -> list[tuple[float, float, int]]:
+    """Of lists sorted by upper bound, largest first, what can be among the k best: a heap keeps the k largest lower
+    bounds, and the merge ends where no upper bound reaches the least of them."""
+    best: list[float] = []
+    out: list[tuple[float, float, int]] = []
+    for one in heapq.merge(*runs, key=lambda x: -x[0]):
+        if len(best) == k and one[0] < best[0]:
+            break
+        out.append(one)
+        (heapq.heappush if len(best) < k else heapq.heappushpop)(best, one[1])
+    return out
 
 
 def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -93,54 +155,62 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
 
     Vectors that are null, zero or hold null or non-finite components take no part, neither do null ids. Vectors meet
     those of their own length only. Repeated rows count once; different vectors under one id are candidates each, and
-    a query's neighbours are the best of its vectors'. Only the two columns named are read, besides `queries`.
-    The work grows with queries times candidates, the rows that are moved with the number of tiles.
+    a query's neighbours are the best of its vectors'. Of more than k + 1 equal vectors those of least ids are
+    candidates, as no others can be among the nearest. Products that overflow count as infinite, undefined ones as the
+    largest of all. Only the two columns named are read, besides `queries`.
+    The work grows with queries times candidates; two bytes a component are moved for each tile.
     """
     small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), queries.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    rows = rows.withColumn("dim", F.size("v"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = rows.groupBy("id", "v").agg(F.max("asks").alias("asks")).withColumn("same", F.xxhash64("v")).withColumn("key", F.xxhash64("id", "same"))
+    rows = stored(rows.select("id", "v", "asks", "same", "key", F.size("v").alias("dim")), "vectors")
+    often = counted(stored(rows.groupBy("same").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("same"), "often"))
+    first = F.row_number().over(W.partitionBy("same", "v").orderBy("id"))
+    limited = rows.join(often, "same", "left_semi").withColumn("nth", first).where(F.col("nth") <= k + 1).select(*rows.columns)
+    cands = rows.join(often, "same", "left_anti").select(*rows.columns).union(limited)
     sizes = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     n_c, n_q = max(1, math.ceil(sizes[0] / CANDIDATES)), max(1, math.ceil(sizes[1] / QUERIES))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")
-    schema = "dim int, block int, ids binary, vectors binary"
-    cands = stored(rows.select("id", "v", "dim", block(n_c)).groupBy("dim", "block").applyInPandas(_pack(k + 1), schema), "candidates")
-    asks = stored(rows.where("asks").select("id", "v", "dim", block(n_q)).groupBy("dim", "block").applyInPandas(_pack(1 << 62), schema), "queries")
-    left = cands.select("dim", F.col("block").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), F.col("ids").alias("cid"), F.col("vectors").alias("cv"))
-    right = asks.select("dim", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"), F.col("ids").alias("qid"), F.col("vectors").alias("qv"))
-    tiles = left.join(right, ["dim", "q", "c"])
+    schema = "dim int, block int, ids binary, keys binary, high binary, low binary, scale binary, size binary"
+
+    def packed(of: DataFrame, n: int, asks: bool) -> DataFrame:
+        of = of.select("id", "key", "v", "dim", F.lit(asks).alias("asks"), F.pmod(F.xxhash64("key", F.lit(n)), F.lit(n)).cast("int").alias("block"))
+        return stored(of.groupBy("dim", "block").applyInPandas(_pack, schema), "blocks")
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = packed(cands, n_c, False).select("dim", F.col("block").alias("c"), every(n_q).alias("q"), *[F.col(x).alias(f"c_{x}") for x in _PACKED])
+    right = packed(rows.where("asks"), n_q, True).select("dim", F.col("block").alias("q"), every(n_c).alias("c"), *[F.col(x).alias(f"q_{x}") for x in _PACKED])
+    tiles = left.join(right, ["dim", "q", "c"]).select("dim", "c", *[f"{side}_{x}" for side in "qc" for x in _PACKED])
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for dim, c, qid, qv, cid, cv in zip(b["dim"], b["c"], b["qid"], b["qv"], b["cid"], b["cv"]):
-                found = tile_best(np.frombuffer(qid, np.int64), np.frombuffer(qv).reshape(-1, dim), np.frombuffer(cid, np.int64), np.frombuffer(cv).reshape(-1, dim), k)
-                yield pd.DataFrame([(q, c, ids, scores) for q, ids, scores in found], columns=["query_id", "part", "ids", "scores"])
+            for row in b.itertuples(index=False):
+                q, c = Block(row.dim, *row[2:8]), Block(row.dim, *row[8:14])
+                out = [(i, key, row.c, top, bottom, c.keys[j]) for i, key, top, bottom, j in tile_best(q, c, k)]
+                yield pd.DataFrame(out, columns=["query_id", "key", "part", "tops", "bottoms", "keys"])
 
-    lists = "query_id long, part int, ids array<long>, scores array<double>"
+    lists = "query_id long, key long, part int, tops array<double>, bottoms array<double>, keys array<long>"
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for query, part, many in zip(b["query_id"], b["part"], b["lists"]):
-                runs = [sorted(zip((-x for x in one["scores"]), one["ids"])) for one in many]
-                best, seen = [], set()
-                for pair in heapq.merge(*runs):
-                    if pair not in seen:
-                        seen.add(pair)
-                        best.append(pair)
-                        if len(best) == k:
-                            break
-                out.append((query, part, [int(i) for _, i in best], [-s for s, _ in best]))
-            yield pd.DataFrame(out, columns=["query_id", "part", "ids", "scores"])
+            for query, key, part, many in zip(b["query_id"], b["key"], b["part"], b["lists"]):
+                best = _merged([list(zip(one["tops"], one["bottoms"], one["keys"])) for one in many], k)
+                out.append((query, key, part, [x[0] for x in best], [x[1] for x in best], [int(x[2]) for x in best]))
+            yield pd.DataFrame(out, columns=["query_id", "key", "part", "tops", "bottoms", "keys"])
 
     best, parts = tiles.mapInPandas(multiply, lists), n_c
     while True:
         parts = math.ceil(parts / MERGE)
-        grouped = best.groupBy("query_id", F.floor(F.col("part") / MERGE).cast("int").alias("part")).agg(F.collect_list(F.struct("ids", "scores")).alias("lists"))
+        grouped = best.groupBy("query_id", "key", F.floor(F.col("part") / MERGE).cast("int").alias("part")).agg(F.collect_list(F.struct("tops", "bottoms", "keys")).alias("lists"))
         best = grouped.mapInPandas(merge, lists)
         if parts <= 1:
             break
-    ranked = best.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("at", "x"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    pairs = best.select("query_id", F.col("key").alias("q_key"), F.explode("keys").alias("key"))
+    found = pairs.join(rows.select("key", F.col("id").alias("vec_id"), F.col("v").alias("cv")), "key")
+    found = found.join(rows.where("asks").select(F.col("key").alias("q_key"), F.col("v").alias("qv")), "q_key")
+    scored = found.select("query_id", "vec_id", _score("qv", "cv").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
