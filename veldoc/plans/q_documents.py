@@ -7,6 +7,7 @@ from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from veldoc.operators import graph as G, history as H, statistics as ST, updates as U, views as V
 from veldoc.operators.filters import where
@@ -190,7 +191,7 @@ def _sql(query, **args):
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _label(kind: pd.Series, event: pd.Series) -> pd.Series:
     return kind.str.upper() + ":" + event.astype(str)
 
