@@ -69,6 +69,11 @@ def strategy(candidates: int, total: int, k: int) -> str:
     return "pre" if candidates < 2 * k else "post" if share > 0.8 and total > 1000 else "pre"
 
 
+def strategy_of(candidates: Column, total: Column, k: int) -> Column:
+    """`strategy` of many filters at once, as a column."""
+    return F.when(candidates < 2 * k, "pre").when((candidates > 0.8 * total) & (total > 1000), "post").otherwise("pre")
+
+
 def filtered_top_k(df: DataFrame, query: list[float], k: int, keep: Column, how: str = "pre", metric: str = "cosine", **options: str) -> DataFrame:
     """The k nearest rows that pass a filter: filtered first, or, `post`, the best 3k of all filtered afterwards."""
     if how == "pre":

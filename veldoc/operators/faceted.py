@@ -141,6 +141,13 @@ def similar(df: DataFrame, post: DataFrame, key: str, title: str, doc: Any) -> D
     return scores(post, " ".join(terms)).where(F.col("doc") != F.lit(doc))
 
 
+def by_template(df: DataFrame, name: str, ties: str, **changes: Any) -> DataFrame:
+    """A search by a preset of parameters, some of them changed; `ties` orders equal rows."""
+    spec = {**TEMPLATES[name], **changes}
+    order = [F.desc_nulls_first(k) if v == -1 else F.asc_nulls_last(k) for k, v in spec.get("sort", {}).items()]
+    return df.orderBy(*order, ties).offset(spec.get("offset", 0)).limit(spec["limit"])
+
+
 def filter_first(df: DataFrame, post: DataFrame, key: str, spec: Column, terms: Sequence[str]) -> DataFrame:
     """(doc, score): filters and the sets of each term are intersected before anything is scored; 10 for each term. A
     term reaches itself, its stem and up to five words that it begins; one that reaches nothing is passed over."""

@@ -204,6 +204,14 @@ def staleness(refreshed: datetime | None, now: datetime, changes: int = 0) -> st
     return "stale" if age > GRACE or changes >= CHANGES else "warning" if age > GRACE - WARN else "fresh"
 
 
+def staleness_of(refreshed: Column, now: Column, changes: Column, grace: timedelta = GRACE, warn: timedelta = WARN, most: int = CHANGES) -> Column:
+    """`staleness` of many views at once, as a column; times of type timestamp."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(refreshed.cast("timestamp"))
+    limit, soon = (int(x.total_seconds() * 1e6) for x in (grace, grace - warn))
+    state = F.when((age > limit) | (changes >= most), "stale").when(age > soon, "warning").otherwise("fresh")
+    return F.when(refreshed.isNull(), "invalid").otherwise(state)
+
+
 def refreshed(view: View, state: DataFrame, base: DataFrame, created: DataFrame, others: int) -> DataFrame:
     """The state of a view after changes: from the rows created alone if there was no other change and all aggregates
     merge, from the whole table otherwise."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from veldoc.functions import geo, vectors
 from veldoc.operators import faceted, find as fnd, fulltext, graph as G, history as H, pipeline as P, quantise, statistics as ST, updates as U, views as V
@@ -129,6 +130,30 @@ def _hybrid(s, d):
     return faceted.fused(words, near).orderBy(F.desc("score"), "doc").limit(10).select("doc", F.round("score", 8).alias("score"))
 
 
+def _strategies(s, d):
+    """How to search under filters of growing share, label <= most: one row for each, counted in one pass and a window
+    over the labels, which are few."""
+    counts = table(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    below = F.sum("n").over(W.orderBy("label"))
+    return counts.select(F.col("label").alias("most"), vectors.strategy_of(below, F.sum("n").over(W.partitionBy(F.lit(1))), 10).alias("how"))
+
+
+def _former(s, d):
+    """A search in the former form of vector filters."""
+    spec = vectors.normalised_search({"$near": _query_vector(s, d), "$k": 7, "$field": "embedding", "$minScore": 0.1})
+    out = vectors.top_k(table(s, d, "embeddings"), spec["query"], spec["topK"], vector=spec["field"])
+    return out.where(F.col("score") >= spec["minScore"]).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def _states(s, d):
+    """Each user's events as a view that a `view` event has refreshed: its changes since, and its state."""
+    events = table(s, d, "events")
+    made = events.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("made"))
+    changes = events.join(made, "user_id").groupBy("user_id", "made").agg(F.count(F.when(F.col("ts") > F.col("made"), 1)).alias("changes"))
+    state = V.staleness_of(F.col("made"), F.col("now"), F.col("changes"), timedelta(days=3), timedelta(days=1), 5)
+    return changes.join(F.broadcast(events.agg(F.max("ts").alias("now")))).select("user_id", "changes", state.alias("state"))
+
+
 _NEAR20 = "(SELECT vec_id FROM (SELECT vec_id, list_cosine_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS dist FROM embeddings) ORDER BY dist, vec_id LIMIT 20)"
 
 QUERIES = {
@@ -156,7 +181,10 @@ QUERIES = {
     "svc_22_highlight": (lambda s, d: table(s, d, "part").select("p_partkey", fulltext.highlight(F.col("p_name"), "red", "<mark>", "</mark>").alias("h")), "SELECT p_partkey, regexp_replace(p_name, '(?i)\\b(red)\\b', '<mark>\\1</mark>', 'g') AS h FROM part"),
     "svc_25_vector_candidates": (lambda s, d: vectors.filtered_top_k(table(s, d, "embeddings"), _query_vector(s, d), 5, F.col("vec_id") % 3 == 0, "pre", "dot").select("vec_id", F.round("score", 6).alias("score")), "SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings WHERE vec_id % 3 = 0) ORDER BY s DESC, vec_id LIMIT 5"),
     "vec_06_nearest": _knn("cosine"),
-    "vec_09_strategy": (lambda s, d: table(s, d, "embeddings").agg(F.count("*").alias("total"), F.count(F.when(F.col("label") < 3, 1)).alias("few")).select(F.when(F.col("few") < 20, "pre").when((F.col("few") / F.col("total") > 0.8) & (F.col("total") > 1000), "post").otherwise("pre").alias("how")), "SELECT 'pre' AS how"),
+    "vec_09_strategy": (_strategies, "SELECT most, CASE WHEN n < 20 THEN 'pre' WHEN n > 0.8 * total AND total > 1000 THEN 'post' ELSE 'pre' END AS how FROM (SELECT m AS most, count(*) FILTER (label <= m) AS n, count(*) AS total FROM embeddings, (SELECT DISTINCT label AS m FROM embeddings) GROUP BY 1)"),
+    "vec_12_former_form": (_former, "SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, 1 - list_cosine_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 7) WHERE score >= 0.1"),
+    "svc_23_templates": (lambda s, d: faceted.by_template(table(s, d, "orders").withColumnRenamed("o_orderdate", "date"), "recent", ties="o_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey LIMIT 20"),
+    "mv_06_staleness": (_states, "WITH v AS (SELECT user_id, max(ts) FILTER (event_type = 'view') AS made FROM events GROUP BY 1), c AS (SELECT user_id, made, count(*) FILTER (ts > made) AS changes FROM events JOIN v USING (user_id) GROUP BY 1, 2), n AS (SELECT max(ts) AS now FROM events) SELECT user_id, changes, CASE WHEN made IS NULL THEN 'invalid' WHEN now - made > INTERVAL 3 DAY OR changes >= 5 THEN 'stale' WHEN now - made > INTERVAL 2 DAY THEN 'warning' ELSE 'fresh' END AS state FROM c, n"),
     "vec_10_product_quantisation": (_quantised, None),
     "vec_13_vector_table": (lambda s, d: (files.write(table(s, d, "embeddings"), p := _base(s, "vectors"), sort_by=["vec_id"]), vectors.top_k(s.read.parquet(p), _query_vector(s, d), 10))[1].select("vec_id"), "SELECT vec_id FROM (SELECT vec_id, list_cosine_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS dist FROM embeddings) ORDER BY dist, vec_id LIMIT 10"),
     "upd_16_link": (_linked, "SELECT o_orderkey AS src, o_custkey AS dst FROM orders UNION SELECT c_custkey, c_custkey FROM customer WHERE c_custkey BETWEEN 1 AND 19"),
