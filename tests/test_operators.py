@@ -235,3 +235,75 @@ def test_graph(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "src string, dst string")
     got = {r["node"]: r["hop"] for r in graph.hops(spark.createDataFrame([("a",)], "node string"), edges, 2).collect()}
     assert got == {"a": 0, "b": 1, "c": 1, "d": 2}
+
+
+@pytest.mark.parametrize(
+    "language, pairs",
+    [
+        ("de", "häuser haus kinder kind arbeiten arbeit aufeinander aufeinand wichtigste wichtig ergebnisse ergebnis"),
+        ("sv", "jaktkarlarne jaktkarl flickorna flick husens hus"),
+        ("no", "havnedistriktene havnedistrikt opning opning"),
+        ("da", "undersøgelsen undersøg indtage indtag"),
+        ("nl", "lichamelijkheden licham opheffing opheff bomen bom"),
+        ("es", "chicharrones chicharron torcedoras torcedor nacionalidad nacional rápidamente rapid hablándole habl"),
+        ("en", "relational relat hopping hop"),
+        ("xx", "unknown unknown"),
+    ],
+)
+def test_stemmers(language, pairs):
+    from veldoc.functions.text import stem_with
+
+    words = pairs.split()
+    assert [stem_with(w, language) for w in words[::2]] == words[1::2]
+
+
+def test_stored_index(spark, tmp_path):
+    """A stored index answers as the plan does; documents without a token count."""
+    docs = spark.createDataFrame([(1, "red green red"), (2, "green blue"), (3, ""), (4, None), (5, "red the blue green")], "d long, t string")
+    fulltext.save(docs, f"{tmp_path}/ix", "d", "t")
+    kept, plan = fulltext.load(spark, f"{tmp_path}/ix"), fulltext.index(docs, "d", "t")
+    assert (kept.n, kept.mean) == (plan.n, pytest.approx(plan.mean)) and kept.n == 5
+    for ask in ("red", "red green", "purple", "red red"):
+        a, b = ({r["doc"]: r["score"] for r in fulltext.search(ix, ask).collect()} for ix in (kept, plan))
+        assert a == pytest.approx(b)
+    assert {r["doc"] for r in fulltext.boolean_docs(kept, "NOT red").collect()} == {2, 3, 4}
+    assert [r["doc"] for r in fulltext.phrase_search(kept, "green red").collect()] == [1]
+
+
+def test_fuzzy_relations(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    r = np.random.default_rng(5)
+    a = [(i, r.normal(size=6).tolist()) for i in range(40)] + [(90, [0.0] * 6), (91, None)]
+    b = [(100 + i, r.normal(size=6).tolist()) for i in range(30)] + [(200, a[3][1]), (201, a[3][1]), (5, a[5][1])]
+    got = graph.fuzzy(*[spark.createDataFrame(x, "k long, v array<double>") for x in (a, b)], "k", "k", "v", 0.1)
+    need = {}
+    for i, v in a:
+        scores = [(-np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), j) for j, w in b if j != i] if v and any(v) else []
+        if scores and -min(scores)[0] >= 0.1:
+            need[i] = 200 if i == 3 else min(scores)[1]
+    assert {x["left"]: x["right"] for x in got.collect()} == need
+
+
+def test_vocabulary_queries_without_sql(spark, sf):
+    """Stems, cells and quantised search, held against plain versions of their own rows."""
+    from veldoc.functions.text import stem_with
+    from veldoc.plans import catalogue
+
+    queries = catalogue.queries()
+    for x in queries["fts_03_stems"](spark, sf).collect():
+        assert x["stem"] == stem_with(x["term"], "en")
+    for x in queries["fts_04_other_stems"](spark, sf).collect():
+        assert x["stem"] == stem_with(x["term"], x["lang"])
+    letters = "0123456789bcdefghjkmnpqrstuvwxyz"
+    for x in queries["exp_31_geohash"](spark, sf).limit(50).collect():
+        low, high = [-90.0, -180.0], [90.0, 180.0]
+        for k, bit in enumerate("".join(f"{letters.index(c):05b}" for c in x["cell"])):
+            axis = (k + 1) % 2
+            middle = (low[axis] + high[axis]) / 2
+            (low if bit == "1" else high)[axis] = middle
+        lat, lng = float((x["id"] * 37) % 180 - 90), float((x["id"] * 73) % 360 - 180)
+        assert low[0] <= lat <= high[0] and low[1] <= lng <= high[1]
+    near = {x["vec_id"] for x in queries["vec_01_cosine"](spark, sf).collect()}
+    assert len(near & {x["vec_id"] for x in queries["vec_10_product_quantisation"](spark, sf).collect()}) >= 2

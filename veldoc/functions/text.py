@@ -8,23 +8,19 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import IntegerType, StringType
 
+from veldoc.functions.stemmers import STEMMERS
+
 #: Token patterns by script, bounds of token length, and English stop words.
 LATIN = r"[a-zA-Z0-9À-ɏḀ-ỿ]+"
 MIN_TOKEN, MAX_TOKEN = 2, 50
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was were will with this but they have had what when where who which why how".split()
 #: Endings of the light stemmer, longest first, and the length that must remain.
 LIGHT_ENDINGS = ["ations", "ation", "ingly", "ments", "ness", "ment", "edly", "ing", "ies", "ed", "ly", "es", "s"]
-#: Suffixes by language for the light stemmers.
+#: Endings by language for the light stemmers, of languages that `stemmers` hasn't.
 SUFFIXES = {
-    "es": "amientos imientos amiento imiento aciones adoras adores ación adora ador ante mente idad ivas ivos able ible osa oso as es os a e o".split(),
     "fr": "issements issement atrices ateurs ations atrice ateur ation ences ence ités ité ives ifs ive if euses eux euse ments ment es s e".split(),
-    "de": "ungen heiten keiten ung heit keit isch lich ern em er en es e n s".split(),
     "it": "azioni azione amenti imenti amento imento mente ità ivi ive ivo iva osi ose oso osa i e o a".split(),
     "pt": "amentos imentos amento imento ações ação mente idades idade ivas ivos iva ivo osas osos osa oso es as os a e o s".split(),
-    "nl": "heden heid ingen ing lijk en s e".split(),
-    "sv": "heterna heten heter arna erna orna ande aste ast ade are en ar er or et a e".split(),
-    "no": "hetene heten ene ane ede en ar er et a e".split(),
-    "da": "hederne heden erne ene ende ede er en et e".split(),
     "fi": "ssa ssä sta stä lla llä lta ltä lle nen ja jä t n a ä".split(),
     "ru": "иями ями ами ией иям ием иях ов ев ей ой ый ий ая яя ое ее ые ие ам ям ах ях ом ем а я о е и ы у ю ь".split(),
     "tr": "lerin ların lerde larda lardan lerden ler lar nin nın de da den dan i ı u ü".split(),
@@ -104,6 +100,8 @@ def porter(word: str) -> str:
 def stem_with(word: str, language: str = "en") -> str:
     if language == "en":
         return porter(word)
+    if language in STEMMERS:
+        return STEMMERS[language](word)
     for end in SUFFIXES.get(language, ()):
         if word.endswith(end) and len(word) - len(end) >= 3:
             return word[: -len(end)]
@@ -120,12 +118,12 @@ def stem(language: str = "en"):
     return stems
 
 
-def stem_by(languages):
-    """A function of two columns, language and word: the stem of the word in that language."""
+def stem_by_language():
+    """A function of two columns, language and word: the stem of the word in that language, the word itself in others."""
 
     @F.pandas_udf(StringType())
     def stems(language: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([None if w is None else stem_with(w, x if x in languages else "") for x, w in zip(language, words)])
+        return pd.Series([None if w is None else stem_with(w, x or "") for x, w in zip(language, words)])
 
     return stems
 
