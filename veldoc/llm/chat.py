@@ -13,9 +13,11 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veldoc.llm.common import small_batches
@@ -24,7 +26,7 @@ _TEXT = re.compile(r"\\|###|</turn>")
 _TEXT_BACK = re.compile(r"\\(\\|###|</turn>)")
 _ROLE = re.compile(r"[\\:\n]|###|</turn>")
 _ROLE_BACK = re.compile(r"\\(n|[\\:]|###|</turn>)")
-_TURN = re.compile(r"### ((?:\\n|\\.|[^\\\n:])*):\n((?:\\\\|\\###|\\</turn>|(?!</turn>)[^\\])*)</turn>\n", re.S)
+_TURN = re.compile(r"### ((?:[^\\\n:]+|\\n|\\.)*):\n((?:[^\\<]+|<(?!/turn>)|\\\\|\\###|\\</turn>)*)</turn>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -91,19 +93,21 @@ def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 def loss_text(rendered: str, offsets: np.ndarray, mask: np.ndarray, spans: list[tuple[int, int]]) -> list[str]:
-    """What the mask covers of each span, unescaped: token by token cut to the span, characters that several tokens
-    share once."""
+    """What the mask covers of each span, unescaped: tokens cut to the span, characters that several tokens share once."""
     out = []
     for a, b in spans:
         i, j = np.searchsorted(offsets[:, 1], a, "right"), np.searchsorted(offsets[:, 0], b, "left")
-        at, parts = a, []
-        for k in range(i, j):
-            if mask[k]:
-                lo, hi = max(at, int(offsets[k, 0])), min(b, int(offsets[k, 1]))
-                if hi > lo:
-                    parts.append(rendered[lo:hi])
-                    at = hi
-        out.append(unescape("".join(parts)))
+        if j <= i:
+            out.append("")
+            continue
+        low, high, used = np.maximum(offsets[i:j, 0], a), np.minimum(offsets[i:j, 1], b), mask[i:j]
+        reach = np.maximum.accumulate(np.where(used, high, a))  # how far the tokens so far have come
+        low = np.maximum(low, np.concatenate([[a], reach[:-1]]))
+        used = used & (high > low)
+        low, high = low[used], high[used]
+        cuts = np.flatnonzero(low[1:] != high[:-1]) + 1  # pieces that follow each other are one
+        pieces = zip(low[np.concatenate([[0], cuts])].tolist(), high[np.concatenate([cuts - 1, [-1]])].tolist()) if len(low) else ()
+        out.append(unescape("".join([rendered[x:y] for x, y in pieces])))
     return out
 
 
@@ -119,24 +123,31 @@ def format_chats(df: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_
     chats = df.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     chats = chats.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _tokenizer(tokenizer)
         for b in batches:
-            for at in range(0, len(b), 200):
-                part = b.iloc[at : at + 200]
-                made = [render(list(zip(r, t))) for r, t in zip(part["roles"], part["texts"])]
-                out = []
-                for conv, (text, spans), e in zip(part["conv_id"], made, model.encode_batch([m[0] for m in made], add_special_tokens=False)):
-                    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-                    out.append((conv, text, e.ids, offsets[:, 0], offsets[:, 1], loss_mask(offsets, spans), [a for a, _ in spans], [b for _, b in spans]))
-                yield pd.DataFrame(out, columns=["conv_id", "formatted", "token_ids", "token_starts", "token_ends", "loss", "span_starts", "span_ends"]).astype({"conv_id": "Int64"})
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                made = [render(list(zip(r, t))) for r, t in zip(part.column("roles").to_pylist(), part.column("texts").to_pylist())]
+                found = model.encode_batch([m[0] for m in made], add_special_tokens=False)
+                sizes = [len(e) for e in found]
+                places = [np.fromiter(chain.from_iterable(e.offsets), np.int32, 2 * n).reshape(-1, 2) for e, n in zip(found, sizes)]
+                masks = [loss_mask(p, spans) for p, (_, spans) in zip(places, made)]
+                ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32, sum(sizes))
+                flat = np.concatenate(places)
+                tokens = [pa.array(ids), pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(np.concatenate(masks))]
+                spans = [pa.array([x[k] for _, s in made for x in s], pa.int32()) for k in (0, 1)]
+                ends = [pa.array(np.cumsum([0, *n]), pa.int32()) for n in (sizes, [len(s) for _, s in made])]
+                lists = [pa.ListArray.from_arrays(ends[0], x) for x in tokens] + [pa.ListArray.from_arrays(ends[1], x) for x in spans]
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), pa.array([m[0] for m in made], pa.string()), *lists], ["conv_id", "formatted", "token_ids", "token_starts", "token_ends", "loss", "span_starts", "span_ends"])
 
     schema = "conv_id long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss array<boolean>, span_starts array<int>, span_ends array<int>"
-    return chats.mapInPandas(encode, schema)
+    return chats.mapInArrow(encode, schema)
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests, read back from the output, of each conversation of `conversations` and of conversation -7."""
+    """Digests, read back from the output, of each conversation of `conversations` and of conversation -7. Null roles and
+    texts count as empty, rows without a conversation id as one conversation, repeated rows as turns."""
     import public_tokenizers
 
     own = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
