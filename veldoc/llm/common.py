@@ -6,6 +6,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -48,6 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Tables that this process has stored.
 _STORED: list[str] = []
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again: all that came of them is stored itself."""
+    for t in tables:
+        path = _PATHS.pop(t)
+        _STORED.remove(path)
+        _delete(t.sparkSession, path)
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
@@ -57,14 +72,15 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STORED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def sweep(spark: SparkSession) -> None:
     """Deletes the tables that were stored so far. Results that are still to be computed from them must be written first."""
     while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _STORED.pop())
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
