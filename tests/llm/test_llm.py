@@ -430,6 +430,31 @@ def test_passages_of_common_lines(spark):
     assert len(got) == len({tuple(x) for x in got})
 
 
+def test_passages_lose_no_link_of_equal_words(spark):
+    """Pairs of texts with 50 equal words are just those that meet in rows of equal words, whatever text stands for a passage."""
+    r, rows = random.Random(8), []
+    for i in range(60):
+        body = prose(130, 500 + i % 3).split()
+        for at in r.sample(range(130), r.randrange(4)):
+            body[at] = f"changed{i}x{at}"
+        rows.append((i, f"{prose(30, 100 + i)} {' '.join(body[: r.randrange(90, 131)])} {prose(20, 200 + i)}"))
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len({tuple(x) for x in got})
+    at, text = collections.defaultdict(set), {i: words(t) for i, t in rows}
+    for i, w in text.items():
+        for p in range(len(w) - 49):
+            at[tuple(w[p : p + 50])].add(i)
+    need = {(a, b) for v in at.values() for a in v for b in v if a < b}
+    equal = [x for x in got if x["n_same"] == x["end"] - x["start"] == x["other_end"] - x["other_start"]]
+    assert all(text[x["doc_id"]][x["start"] : x["end"]] == text[x["other_id"]][x["other_start"] : x["other_end"]] for x in equal)
+    by = collections.defaultdict(list)
+    for x in equal:
+        by[x["other_id"]].append((x["doc_id"], x["other_start"], x["other_end"]))
+    met = {(x["doc_id"], x["other_id"]) for x in equal}
+    met |= {(a[0], b[0]) for v in by.values() for a in v for b in v if min(a[2], b[2]) - max(a[1], b[1]) >= 50}
+    assert len(need) > 300 and {(a, b) for a, b in met if a < b} == need
+
+
 def edited(text, share, seed, evenly=False):
     """A passage with about `share` of its words changed: mostly replaced, some dropped or put in."""
     r, out = random.Random(seed), text.split()
