@@ -307,3 +307,17 @@ def test_vocabulary_queries_without_sql(spark, sf):
         assert low[0] <= lat <= high[0] and low[1] <= lng <= high[1]
     near = {x["vec_id"] for x in queries["vec_01_cosine"](spark, sf).collect()}
     assert len(near & {x["vec_id"] for x in queries["vec_10_product_quantisation"](spark, sf).collect()}) >= 2
+
+
+def test_index_groups_terms_where_texts_stand(spark, tmp_path):
+    from veldoc.operators import fulltext as T
+
+    rows = [(1, "red green red the"), (2, None), (3, ""), (4, "Blue red-blue \u00c4pfel"), (5, "green"), (5, "red green"), (None, "red"), (6, "x " * 50 + "end")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    assert "Exchange" not in T._rows(df, "id", "t", T.LATIN)._jdf.queryExecution().executedPlan().toString()
+    T.save(df, str(tmp_path / "ix"), "id", "t")
+    got, plain = T.load(spark, str(tmp_path / "ix")), T.index(df, "id", "t")
+    of = lambda ix: sorted((x["doc"] or 0, x["term"], x["tf"], list(x["positions"])) for x in ix.postings.collect())
+    assert of(got) == of(plain) and (5, "green", 2, [0, 1]) in of(got) and (4, "\u00e4pfel", 1, [3]) in of(got)
+    assert sorted(map(tuple, got.vocabulary.collect())) == sorted(map(tuple, plain.vocabulary.collect()))
+    assert {x["doc"]: x["length"] for x in got.docs.collect()} == {1: 3, 2: 0, 3: 0, 4: 4, 5: 2, None: 1, 6: 1} and got.n == 7

@@ -5,12 +5,15 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as S
 
 from veldoc.functions.text import LATIN, damerau, query_tokens, tokens
+from veldoc.sources.workspace import kept
 
 #: Parameters of BM25, and of fuzzy terms (least length, prefix that must agree, penalty an edit).
 K1, B = 1.2, 0.75
@@ -46,15 +49,46 @@ def index(df: DataFrame, key: str, text: str, pattern: str = LATIN) -> Index:
     return Index(postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")), stats[0], stats[1] or 0.0)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of each text, made where the text stands; a text without terms has one row with a null term."""
+    for b in batches:
+        sizes = b.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        terms = b.column("terms").flatten().dictionary_encode()
+        codes = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        key = row * max(1, len(terms.dictionary)) + codes
+        order = np.argsort(key, kind="stable")  # positions of a text ascend already
+        starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else key
+        empty = np.flatnonzero(sizes == 0)
+        ends = np.concatenate([starts[1:], [len(key)]])[: len(starts)]
+        of = np.concatenate([row[order[starts]], empty])
+        term = pa.concat_arrays([terms.dictionary.take(pa.array(codes[order[starts]])), pa.nulls(len(empty), terms.dictionary.type)])
+        tf = np.concatenate([ends - starts, np.zeros(len(empty), np.int64)])
+        places = b.column("positions").flatten().take(pa.array(order))
+        positions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tf)]).astype(np.int32)), places)
+        yield pa.RecordBatch.from_arrays([term, b.column("doc").take(pa.array(of)), pa.array(tf), pa.array(sizes[of].astype(np.int32)), positions], ["term", "doc", "tf", "length", "positions"])
+
+
+def _rows(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(term, doc, tf, length, positions) of each row, without a shuffle."""
+    placed = df.select(F.col(key).alias("doc"), tokens(F.col(text), pattern).alias("ts"))
+    placed = placed.select("doc", F.col("ts.term").alias("terms"), F.col("ts.position").alias("positions"))
+    fields = [("term", S.StringType()), ("doc", placed.schema["doc"].dataType), ("tf", S.LongType()), ("length", S.IntegerType()), ("positions", S.ArrayType(S.IntegerType()))]
+    return placed.mapInArrow(_grouped, S.StructType([S.StructField(*f) for f in fields]))
+
+
 def save(df: DataFrame, path: str, key: str, text: str, pattern: str = LATIN) -> None:
     """Writes an index: postings in ranges of terms, each file sorted, so that a term's rows stand in a few row groups; a
-    frequent term's rows are spread by document. Texts are read once."""
+    frequent term's rows are spread by document. Texts are read once, and their terms grouped where they stand; only rows
+    of keys that occur again are grouped once more."""
     spark = df.sparkSession
-    placed = df.select(F.col(key).alias("doc"), tokens(F.col(text), pattern).alias("ts"))
-    at = placed.select("doc", F.size("ts").alias("length"), F.explode_outer("ts").alias("t")).select("doc", "length", "t.term", "t.position")
-    rows = at.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("position")).alias("positions"))
-    rows.select("term", "doc", "tf", "length", "positions").write.parquet(f"{path}/rows")
+    _rows(df, key, text, pattern).write.parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
+    again = kept(df.groupBy(F.col(key).alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"))
+    if again.limit(1).count():
+        same = F.col("doc").eqNullSafe(F.col("again"))
+        merged = rows.join(again, same, "left_semi").groupBy("term", "doc").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+        rows = rows.join(again, same, "left_anti").unionByName(merged)
     rows.where("term is not null").repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
     rows.groupBy("doc").agg(F.max("length").alias("length")).write.parquet(f"{path}/docs")
     found = spark.read.parquet(f"{path}/postings")
