@@ -18,6 +18,8 @@ from veldoc.sources.workspace import kept
 #: Parameters of BM25, and of fuzzy terms (least length, prefix that must agree, penalty an edit).
 K1, B = 1.2, 0.75
 FUZZY_LENGTH, FUZZY_PREFIX, FUZZY_PENALTY = 4, 1, 0.2
+#: Near terms up to which a fuzzy query names them to the scan, and up to which its weights are broadcast.
+NAMED, BROADCAST = 2_000, 500_000
 
 
 @dataclass
@@ -108,13 +110,15 @@ def idf(df: Column, n: Column | int) -> Column:
     return F.greatest(F.lit(0.0), F.log((n - df + 0.5) / (df + 0.5) + 1))
 
 
-def bm25(ix: Index, weights: DataFrame, terms: Sequence[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(ix: Index, weights: DataFrame, terms: Sequence[str] | None = None, k1: float = K1, b: float = B, few: bool | None = None) -> DataFrame:
     """(doc, score) from (term, weight, idf_term): the idf is that of idf_term. Where the terms are known beforehand, as
-    those of a query are, only their postings are read."""
+    those of a query are, only their postings are read. Weights that are few are broadcast."""
+    few = terms is not None if few is None else few
     postings = ix.postings if terms is None else ix.of(terms)
     known = ix.vocabulary if terms is None else ix.vocabulary.where(F.col("term").isin(list(dict.fromkeys(terms))))
     counts = known.select(F.col("term").alias("idf_term"), "df")
-    scored = postings.select("doc", "term", "tf", "length").join(weights.join(counts, "idf_term", "left"), "term")
+    weights = weights.join(counts, "idf_term", "left")
+    scored = postings.select("doc", "term", "tf", "length").join(F.broadcast(weights) if few else weights, "term")
     tf = F.col("tf") * F.col("times")
     part = F.col("weight") * idf(F.coalesce("df", F.lit(0)), ix.n) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / ix.mean))
     return scored.groupBy("doc").agg(F.sum(part).alias("score"))
@@ -127,11 +131,12 @@ def _weights(ix: Index, terms: Sequence[str]) -> DataFrame:
     return ix.postings.sparkSession.createDataFrame([(t, 1.0, t, n) for t, n in counted.items()] or [("", 0.0, "", 0)], "term string, weight double, idf_term string, times int")
 
 
-def search(ix: Index, query: str, limit: int = 100, least: float = 0.0) -> DataFrame:
-    """Documents with any term of the query, best first; a repeated term doubles its frequency."""
+def search(ix: Index, query: str, limit: int | None = 100, least: float = 0.0) -> DataFrame:
+    """Documents with any term of the query, best first, all of them without a limit; a repeated term doubles its
+    frequency."""
     terms = query_tokens(query)
-    out = bm25(ix, _weights(ix, terms), terms)
-    return out.where(F.col("score") >= least).orderBy(F.desc("score"), "doc").limit(limit)
+    out = bm25(ix, _weights(ix, terms), terms).where(F.col("score") >= least).orderBy(F.desc("score"), "doc")
+    return out if limit is None else out.limit(limit)
 
 
 def phrase(ix: Index, words: Sequence[str]) -> DataFrame:
@@ -236,7 +241,12 @@ def fuzzy_weights(ix: Index, query: str, most: int = 2) -> DataFrame:
 
 
 def fuzzy_search(ix: Index, query: str, limit: int = 100, most: int = 2) -> DataFrame:
-    return bm25(ix, fuzzy_weights(ix, query, most)).orderBy(F.desc("score"), "doc").limit(limit)
+    """The near terms are found first, so that only their postings are read, and never shuffled but for their scores."""
+    weights = kept(fuzzy_weights(ix, query, most))
+    n = weights.limit(BROADCAST + 1).count()
+    terms = [x["term"] for x in weights.select("term").distinct().collect()] if n <= NAMED else None
+    out = bm25(ix, weights, terms, few=n <= BROADCAST)
+    return out.orderBy(F.desc("score"), "doc").limit(limit)
 
 
 def tf_idf(ix: Index, weighting: str = "log") -> DataFrame:
