@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -321,3 +322,46 @@ def test_index_groups_terms_where_texts_stand(spark, tmp_path):
     assert of(got) == of(plain) and (5, "green", 2, [0, 1]) in of(got) and (4, "\u00e4pfel", 1, [3]) in of(got)
     assert sorted(map(tuple, got.vocabulary.collect())) == sorted(map(tuple, plain.vocabulary.collect()))
     assert {x["doc"]: x["length"] for x in got.docs.collect()} == {1: 3, 2: 0, 3: 0, 4: 4, 5: 2, None: 1, 6: 1} and got.n == 7
+
+
+def test_scores_read_only_the_terms_of_a_query(spark, tmp_path):
+    from veldoc.operators import fulltext as T
+
+    rows = [(i, f"reserved word{i} other{i % 7}") for i in range(200)] + [(500, "reserve"), (501, "rserved resold")]
+    T.save(spark.createDataFrame(rows, "id long, t string"), str(tmp_path / "ix"), "id", "t")
+    ix = T.load(spark, str(tmp_path / "ix"))
+    found = T.fuzzy_search(ix, "reservde", 1000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "IN (" in plan
+    plain = T.bm25(ix, T.fuzzy_weights(ix, "reservde"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and found.count() == 202
+    assert T.search(ix, "reserved", None).count() == 200 and T.search(ix, "reserved", 3).count() == 3
+
+
+def test_stems_by_language_shuffle_only_distinct_terms(spark, sf):
+    from veldoc.plans import catalogue
+
+    df = catalogue.queries()["fts_04_other_stems"](spark, sf)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text").collect()
+    from veldoc.functions.text import MAX_TOKEN, MIN_TOKEN, STOP_WORDS, LATIN
+    import re
+
+    need = {(r["lang"], w.lower()) for r in docs for w in re.findall(LATIN, r["text"] or "") if MIN_TOKEN <= len(w.lower()) <= MAX_TOKEN and w.lower() not in STOP_WORDS}
+    assert sorted((r["lang"], r["term"]) for r in df.collect()) == sorted(need)
+
+
+def test_fuzzy_relation_moves_rows_a_bounded_number_of_times(spark, monkeypatch):
+    assert [graph._blocks(n, n * 512) for n in (0, 1, 2048, 4096, 615_000, 10_000_000)] == [1, 1, 1, 2, 16, 153]
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    whole = sorted(map(tuple, graph.fuzzy(df, df, "id", "id", "v", -1.0).collect()))
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    monkeypatch.setattr(graph, "_best", graph._best)
+    monkeypatch.setattr(graph, "BLOCKS", 3)
+    assert sorted(map(tuple, graph.fuzzy(df, df, "id", "id", "v", -1.0).collect())) == whole and len(whole) == 120
+    some = [graph._nearest(np.arange(120), np.array([v for _, v in rows]), np.arange(k, min(120, k + 7)), np.array([v for _, v in rows[k : k + 7]])) for k in range(0, 120, 7)]
+    i, right, value = (np.concatenate(c) for c in zip(*some))
+    first = graph._first(i, right, value)
+    assert sorted(zip(i[first].tolist(), right[first].tolist(), value[first].tolist())) == whole
