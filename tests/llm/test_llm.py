@@ -8,8 +8,10 @@ import hashlib
 import importlib.util
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -498,6 +500,107 @@ def test_chaining():
     assert passages.align(a, 0, b, 0, [0, 40, 0, 60, 90, -1]) == (0, 100, 0, 101, 100)
 
 
+def plain_align(a, a0, b, b0, runs):
+    """One chain, word by word, as `align_all` should do it."""
+
+    def extend(a, b):
+        i = j = same = 0
+        straight = True
+        while i < len(a) and j < len(b):
+            best = (0, 0, 0, 0)
+            for d in [0] if straight else [d for d in range(-passages.SKIP, passages.SKIP + 1) if d]:
+                p, q, score, n = max(d, 0), max(-d, 0), -2 * abs(d), 0
+                for k in range(min(len(a) - i - p, len(b) - j - q, 10**9 if straight else passages.REACH)):
+                    hit = a[i + p + k] == b[j + q + k]
+                    score, n = score + (1 if hit else -2), n + hit
+                    if score > best[0]:
+                        best = (score, p + k + 1, q + k + 1, n)
+            if not best[0] and not straight:
+                break
+            i, j, same, straight = i + best[1], j + best[2], same + best[3], not straight
+        return i, j, same
+
+    def hit(place, diagonal):
+        return a0 <= place < a0 + len(a) and b0 <= place - diagonal < b0 + len(b) and a[place - a0] == b[place - diagonal - b0]
+
+    lo, hi, rlo, rhi = runs[0], runs[-2], runs[0] - runs[2], runs[-2] - runs[-1]
+    left, rleft, same = extend(a[: lo - a0][::-1], b[: rlo - b0][::-1])
+    right, rright, more = extend(a[hi - a0 :], b[rhi - b0 :])
+    same, at = same + more, lo
+    for i in range(0, len(runs), 3):
+        start, end, diagonal = max(runs[i], at), runs[i + 1], runs[i + 2]
+        if i:
+            same += max(sum(hit(w, runs[i - 1]) for w in range(at, cut)) + sum(hit(w, diagonal) for w in range(cut, start)) for cut in range(at, start + 1))
+        same += sum(hit(w, diagonal) for w in range(start, end))
+        at = max(at, end)
+    return lo - left, hi + right, rlo - rleft, rhi + rright, same
+
+
+def changed_pairs(r, n):
+    """Pairs of word lists with changes, and clusters of their chains."""
+    for _ in range(n):
+        base, rate, b = [r.randrange(50_000) for _ in range(300)], r.choice([0, 0.02, 0.1, 0.2, 0.3]), []
+        for w in base:
+            x = r.random() / max(rate, 1e-9)
+            b += [r.randrange(50_000)] if x < 0.7 else [] if x < 0.85 else [w, r.randrange(50_000)] if x < 1 else [w]
+        a = base[r.randrange(80) : r.randrange(150, 300)] + base[:40] * r.randrange(3)
+        at = {tuple(b[j : j + 5]): j for j in range(len(b) - 4)}
+        found = [(i, at[k]) for i in range(len(a) - 4) if (k := tuple(a[i : i + 5])) in at and r.random() < 0.3]
+        pos, ref = [p for p, _ in found], [q for _, q in found]
+        yield a, b, pos, ref, passages._clusters([passages._runs(pos, ref, one) for one in passages.chain(pos, ref)])
+
+
+def test_alignments_of_many_chains_are_those_of_each():
+    words, sides, chains, want = [], [], [], []
+    for a, b, _, _, clusters in changed_pairs(random.Random(3), 60):
+        for low, high, rlow, rhigh, runs in clusters:
+            a0, b0 = max(0, low - 64), max(0, rlow - 64)
+            x, y = a[a0 : high + 64], b[b0 : rhigh + 64]
+            while runs:
+                chains.append(runs[1 : runs[0] + 1])
+                runs = runs[runs[0] + 1 :]
+                sides.append([len(words), len(x), a0, len(words) + len(x), len(y), b0])
+                want.append(plain_align(x, a0, y, b0, chains[-1]))
+            words += x + y
+    assert len(want) > 100 and passages.align_all(np.array(words, np.uint32), np.array(sides), chains).tolist() == [list(w) for w in want]
+
+
+def test_straight_chains_are_those_of_the_tree():
+    r, columns, want = random.Random(4), [], []
+    for pair in range(200):
+        pos = ref = 0
+        anchors = []
+        for _ in range(r.randrange(1, 25)):
+            gap = r.choice([1, 2, 5, 10, 11, 39, 40, 41, 60, 150, 300])
+            pos, ref = pos + gap, ref + max(1, gap + r.choice([0] * 9 + [-2, 3, 30, 60]))
+            anchors.append((pair, pos, ref, r.randrange(3), r.randrange(3)))
+        columns += anchors
+        _, p, q, left, right = (list(x) for x in zip(*anchors))
+        kept = [c for c in passages.chain(p, q) if p[c[-1]] + passages.K - p[c[0]] >= passages.ENOUGH or left[c[0]] >= passages.AGREE or right[c[-1]] >= passages.AGREE]
+        want += [(pair, *c) for c in passages._clusters([passages._runs(p, q, c) for c in kept])]
+    pair, low, high, rlow, rhigh, offsets, runs = (x.tolist() for x in passages._straight(*np.array(columns).T))
+    got = [(*x, runs[offsets[i] : offsets[i + 1]]) for i, x in enumerate(zip(pair, low, high, rlow, rhigh))]
+    assert len(want) > 200 and got == want
+
+
+def test_passages_of_many_chains_take_few_rounds(monkeypatch):
+    """A line again and again gives two texts thousands of chains: they are sorted, not compared with each other, and aligned together."""
+    began = time.process_time()
+    chains = [[60 * i, 60 * i + 30, 60 * i] for i in range(10_000)]
+    assert len(passages._clusters(chains)) == 1 and len(passages._clusters(chains + [[0, 600_000, 0]])[0][4]) == 4
+    assert time.process_time() - began < 2
+    calls, align_all = [], passages.align_all
+    monkeypatch.setattr(passages, "align_all", lambda *x: calls.append(1) or align_all(*x))
+    line, r = list(range(55)), random.Random(6)
+    b = np.array([1_000_000 + i for i in range(70)] + line + [2_000_000 + i for i in range(70)], np.uint32)
+    a = np.array([w for _ in range(500) for w in line + [r.randrange(5_000, 900_000) for _ in range(30)]], np.uint32)
+    runs = [x for i in range(500) for x in (3, 85 * i, 85 * i + 55, 85 * i - 70)]
+    batch = pa.RecordBatch.from_pylist([{"node": 1, "ref": 2, "runs": runs, "a": a.tobytes(), "a0": 0, "b": b.tobytes(), "b0": 0}])
+    found = pa.Table.from_batches(passages._aligned(iter([batch]))).to_pylist()
+    assert sorted((f["start"], f["end"], f["ref_start"], f["n_same"]) for f in found) == [(85 * i, 85 * i + 55, 70, 55) for i in range(500)]
+    assert len(calls) < 12
+
+
 # secrets
 
 
