@@ -601,6 +601,33 @@ def test_passages_of_many_chains_take_few_rounds(monkeypatch):
     assert len(calls) < 12
 
 
+def test_seeds_of_several_texts(spark, monkeypatch):
+    """Hashes dealt in pieces give just the seeds that two texts have, and the marks lose none of them."""
+    r = random.Random(9)
+    line = prose(30, 12)
+    rows = [f"{prose(r.randrange(100), 100 + i)} {line} {line if i % 3 else ''} {prose(60, 200 + i // 2)}" for i in range(80)] + ["", None, prose(49, 5), prose(49, 5) + " x"]
+    batch = pa.RecordBatch.from_pydict({"node": list(range(-40, len(rows) - 40)), "text": rows})
+    held = collections.defaultdict(set)
+    for k, text in enumerate(rows):
+        if len(words(text)) >= 50:
+            _, _, _, owner, h, _, _ = next(hashing.word_chunks(pa.array([text])))
+            for v in passages.minimizers(h, owner)[0].tolist():
+                held[v].add(k)
+    want = {v for v, of in held.items() if len(of) > 1}
+    monkeypatch.setattr(passages, "SEEDS_HELD", 700)
+    dealt = pa.Table.from_batches(passages._dealt(7, iter([batch.slice(i, 10) for i in range(0, len(rows), 10)])))
+    assert set(dealt.column("part").to_pylist()) == set(range(7)) and dealt.num_rows > 14
+    several = [v for k in range(7) for v in passages._repeated(dealt.filter(pa.array([p == k for p in dealt.column("part").to_pylist()]))).column("seed").to_pylist()]
+    assert len(several) == len(want) > 300 and {v % 2**64 for v in several} == want
+    for bits in (28, 10):
+        monkeypatch.setattr(passages, "MARK_BITS", bits)
+        marks = passages._marks(spark.createDataFrame([(v,) for v in several], "seed long"))
+        assert len(marks.value) <= 2**bits // 64
+        got = collections.Counter((v % 2**64, n) for b in passages._seeds(marks, iter([batch])) for v, n in zip(b.column("seed").to_pylist(), b.column("node").to_pylist()))
+        assert {(v, n - 40) for v in want for n in held[v]} <= set(got) <= {(v, n - 40) for v in held for n in held[v]}
+        assert bits == 10 or len({v for v, _ in got} - want) < 0.2 * (len(held) - len(want))
+
+
 # secrets
 
 
