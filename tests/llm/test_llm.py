@@ -6,6 +6,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import importlib.util
+import itertools
 import random
 import re
 import time
@@ -137,6 +138,30 @@ def test_nearest_of_many_blocks(spark, monkeypatch):
     assert dict(got) == brute_nearest(rows, lambda i: i % 20 == 0, 20)
 
 
+def test_tiles_are_neither_broadcast_nor_repeated(spark, monkeypatch):
+    for name, value in (("CANDIDATES", 64), ("QUERIES", 8)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    plan = nearest.nearest(df, F.col("vec_id") % 20 == 0)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: re.search("[A-Za-z]", line).start()
+    at = max(i for i, line in enumerate(plan) if "MapInPandas" in line)
+    below = list(itertools.takewhile(lambda line: not re.search("[A-Za-z]", line) or depth(line) > depth(plan[at]), plan[at + 1 :]))
+    assert below and not [line for line in below if "Broadcast" in line or "Generate" in line]
+
+
+@pytest.mark.parametrize("held", [1, 4000])
+def test_nearest_of_many_parts(spark, monkeypatch, held):
+    for name, value in (("CANDIDATES", 32), ("QUERIES", 8), ("STRIP", 3), ("MERGE", 3), ("HELD", held)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(400)]
+    df, got = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), collections.defaultdict(list)
+    for x in nearest.nearest(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append(x["vec_id"])
+    assert dict(got) == brute_nearest(rows, lambda i: i % 20 == 0, 20)
+
+
 def test_nearest_of_extreme_vectors(spark):
     rows = [(0, [1e200, 3.0]), (20, [5e-324, 0.0]), (1, [1e-200, 1.0]), (2, [5e-324, 5e-324]), (3, [1e300, -1.0]), (4, [-1e300, 1.0]), (5, [3.0, 1.0]), (6, [3.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

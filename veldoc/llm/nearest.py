@@ -1,11 +1,13 @@
 """Nearest neighbours by a block matrix join.
 
 Queries and candidates are packed into blocks by a hash of their ids: int8 codes of the components, int8 codes of what
-the first leave over, a scale for each vector. Each pair of blocks is a tile, and only codes are moved to it. In a
+the first leave over, a scale for each vector. Each pair of blocks is a tile. Blocks are dealt once to parts, of
+HELD bytes of candidates at most, and a task has a part of either side: it multiplies each of its blocks of queries with
+one block of candidates after the other, so tiles are made in the task and moved nowhere. In a
 tile the first codes are multiplied; with the error bounds of the quantisation a candidate stays for a query if it can still be
-among the k best of the tile, and the second codes narrow the bounds of those that stay. The tiles' lists are merged by
-heaps, MERGE lists at a time, as far as bounds allow. What survives, little more than k for a query, is recomputed in
-double precision from the original vectors. The result is exact.
+among the k best of the tile and of the tiles before, and the second codes narrow the bounds of those that stay. The tasks' lists
+are merged by heaps, MERGE lists at a time, as far as bounds allow. What survives, little more than k for a query, is recomputed
+in double precision from the original vectors. The result is exact.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from veldoc.llm.common import counted, small_batches, stored
 
 #: Vectors of a block of candidates and of queries, rows of a tile that are multiplied at a time, lists merged at a time.
 CANDIDATES, QUERIES, STRIP, MERGE = 4096, 2048, 128, 64
+#: Bytes of packed candidates that a task holds.
+HELD = 1 << 26
 #: Components whose products of codes are exact in float32.
 EXACT = 1024
 #: Steps of the second code in a step of the first one.
@@ -85,6 +89,9 @@ class Block:
         self.ids, self.keys = np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64)
         self.high, self.low = (np.frombuffer(x, np.int8).reshape(-1, dim) for x in (high, low))
         self.scale, self.size = np.frombuffer(scale), np.frombuffer(size)
+        self.floats = self.high.astype(np.float32)
+        # no bound overflows or is undefined
+        self.plain = bool(np.isfinite(self.scale).all() and (self.size < 1e140).all())
         # magnitudes of what the codes stand for: first codes alone, and both
         self.coarse = np.abs(self.high.astype(np.float64)).sum(axis=1) * self.scale
         self.codes = self.high.astype(np.float64) * FINE + self.low
@@ -95,7 +102,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact products of rows of int8 codes: in float32 for EXACT components at a time."""
     out = np.zeros((len(a), len(b)))
     for at in range(0, a.shape[1], EXACT):
-        out += a[:, at : at + EXACT].astype(np.float32) @ b[:, at : at + EXACT].astype(np.float32).T
+        out += a[:, at : at + EXACT].astype(np.float32, copy=False) @ b[:, at : at + EXACT].astype(np.float32, copy=False).T
     return out
 
 
@@ -106,34 +113,92 @@ def _least(low: np.ndarray, k: int) -> np.ndarray:
     return np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
 
 
-def tile_best(q: Block, c: Block, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query of a tile: id, key, and upper bounds, lower bounds and places of the candidates that can be among
-    its k best. A product of codes is off by half a step of either side at most: |a.b - a'.b'| <= |a - a'||b| + |a'||b - b'|."""
-    slack = 1 + 1e-9
+def _top(i: np.ndarray, top: np.ndarray, bottom: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists of n queries, an item's query in `i`: the k-th largest lower bound of each query, -inf where there are
+    fewer, and which items reach it."""
+    order = np.lexsort((-bottom, i))
+    ends = np.searchsorted(i[order], np.arange(n + 1))
+    kth = np.full(n, -np.inf)
+    full = np.flatnonzero(np.diff(ends) >= k)
+    kth[full] = bottom[order[ends[full] + k - 1]]
+    return kth, top >= kth[i]
+
+
+def _tile(q: Block, c: Block, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and candidates, upper and lower bounds of those of a tile that can be among the k best of their
+    query, of which `least` is a lower bound already. A product of codes is off by half a step of either side at most:
+    |a.b - a'.b'| <= |a - a'||b| + |a'||b - b'|."""
+    slack, out = 1 + 1e-9, []
     for at in range(0, len(q.ids), STRIP):
         s = slice(at, at + STRIP)
-        own = q.ids[s, None] == c.ids[None, :]
         with np.errstate(invalid="ignore"):
-            near = products(q.high[s], c.high) * (q.scale[s, None] * c.scale[None, :])
-            room = (q.coarse[s, None] * c.scale[None, :] + q.scale[s, None] * c.size[None, :]) / 2 * slack
-        low, high = (np.where(np.isfinite(room), near + sign * room, sign * np.inf) for sign in (-1, 1))
-        low[own] = -np.inf
-        i, j = np.nonzero((high >= _least(low, k)[:, None]) & ~own)
+            near = products(q.floats[s], c.floats)
+            near *= q.scale[s, None]
+            near *= c.scale[None, :]
+            room = q.coarse[s, None] * c.scale[None, :]
+            room += q.scale[s, None] * c.size[None, :]
+            room *= slack / 2
+        if not (q.plain and c.plain):
+            fits = np.isfinite(room)
+            near, room = np.where(fits, near, 0), np.where(fits, room, np.inf)
+        # a bound of the tile itself is only needed as long as there is none of the tiles before
+        bound = least[s].copy()
+        new = np.flatnonzero(bound == -np.inf)
+        low = near[new] - room[new]
+        near += room
+        if np.isin(q.ids[s], c.ids).any():
+            own = q.ids[s, None] == c.ids[None, :]
+            low[own[new]] = -np.inf
+            near[own] = np.nan  # reaches no bound
+        bound[new] = _least(low, k)
+        i, j = np.nonzero(near >= bound[:, None])
         del near, room
         with np.errstate(invalid="ignore"):
             exact = np.einsum("ij,ij->i", q.codes[at + i], c.codes[j]) * (q.scale[at + i] * c.scale[j] / FINE**2)
             room = (q.fine[at + i] * c.scale[j] + q.scale[at + i] * c.size[j]) / (2 * FINE) * slack
         fits = np.isfinite(room)
         top, bottom = np.where(fits, exact + room, np.inf), np.where(fits, exact - room, -np.inf)
-        order = np.lexsort((-top, i))
-        i, j, top, bottom = i[order], j[order], top[order], bottom[order]
-        ends = np.searchsorted(i, np.arange(len(low) + 1))
-        for r in range(len(low)):
-            a, b = ends[r], ends[r + 1]
-            if b > a:
-                least = _least(bottom[None, a:b], k)[0]
-                stay = a + np.flatnonzero(top[a:b] >= least)
-                yield int(q.ids[at + r]), int(q.keys[at + r]), top[stay], bottom[stay], j[stay]
+        _, stay = _top(i, top, bottom, len(bound), k)
+        stay &= top >= least[s][i]
+        out.append((at + i[stay], j[stay], top[stay], bottom[stay]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _lists(i: np.ndarray, top: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
+    """Each query that has items: its place, and their upper bounds, largest first, and other columns."""
+    order = np.lexsort((-top, i))
+    i, *columns = (x[order] for x in (i, top, *more))
+    cuts = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])[: len(i)]), len(i))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(i[a]), *(x[a:b] for x in columns)
+
+
+def tile_best(q: Block, c: Block, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query of a tile: id, key, and upper bounds, lower bounds and places of the candidates that can be among
+    its k best."""
+    i, j, top, bottom = _tile(q, c, k, np.full(len(q.ids), -np.inf))
+    for r, *columns in _lists(i, top, bottom, j):
+        yield int(q.ids[r]), int(q.keys[r]), *columns
+
+
+class Best:
+    """What can be among the k best of each query of a block, of all blocks of candidates so far."""
+
+    def __init__(self, q: Block, k: int):
+        self.q, self.k, self.least = q, k, np.full(len(q.ids), -np.inf)
+        self.i, self.keys, self.top, self.bottom = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+    def add(self, c: Block) -> None:
+        i, j, top, bottom = _tile(self.q, c, self.k, self.least)
+        if len(i):
+            new = (np.concatenate(x) for x in ((self.i, i), (self.keys, c.keys[j]), (self.top, top), (self.bottom, bottom)))
+            i, keys, top, bottom = new
+            self.least, stay = _top(i, top, bottom, len(self.q.ids), self.k)
+            self.i, self.keys, self.top, self.bottom = i[stay], keys[stay], top[stay], bottom[stay]
+
+    def lists(self, part: int) -> pd.DataFrame:
+        out = [(int(self.q.ids[r]), int(self.q.keys[r]), part, *columns) for r, *columns in _lists(self.i, self.top, self.bottom, self.keys)]
+        return pd.DataFrame(out, columns=["query_id", "key", "part", "tops", "bottoms", "keys"])
 
 
 def _merged(runs: list[list[tuple[float, float, int]]], k: int) -> list[tuple[float, float, int]]:
@@ -158,7 +223,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     a query's neighbours are the best of its vectors'. Of more than k + 1 equal vectors those of least ids are
     candidates, as no others can be among the nearest. Products that overflow count as infinite, undefined ones as the
     largest of all. Only the two columns named are read, besides `queries`.
-    The work grows with queries times candidates; two bytes a component are moved for each tile.
+    The work grows with queries times candidates; two bytes a component are moved once, and read again from there.
     """
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -168,25 +233,34 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     first = F.row_number().over(W.partitionBy("same", "v").orderBy("id"))
     limited = rows.join(often, "same", "left_semi").withColumn("nth", first).where(F.col("nth") <= k + 1).select(*rows.columns)
     cands = rows.join(often, "same", "left_anti").select(*rows.columns).union(limited)
-    sizes = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
+    sizes = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1)), F.sum(2 * F.col("dim").cast("long") + 32)).first()
     n_c, n_q = max(1, math.ceil(sizes[0] / CANDIDATES)), max(1, math.ceil(sizes[1] / QUERIES))
+    # as few parts of candidates as tasks can hold, but all cores have work
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(n_c, max(math.ceil((sizes[2] or 0) / HELD), math.ceil(tasks / n_q)))
+    shares = min(n_q, math.ceil(2 * tasks / parts))
     schema = "dim int, block int, ids binary, keys binary, high binary, low binary, scale binary, size binary"
 
     def packed(of: DataFrame, n: int, asks: bool) -> DataFrame:
         of = of.select("id", "key", "v", "dim", F.lit(asks).alias("asks"), F.pmod(F.xxhash64("key", F.lit(n)), F.lit(n)).cast("int").alias("block"))
         return stored(of.groupBy("dim", "block").applyInPandas(_pack, schema), "blocks")
 
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = packed(cands, n_c, False).select("dim", F.col("block").alias("c"), every(n_q).alias("q"), *[F.col(x).alias(f"c_{x}") for x in _PACKED])
-    right = packed(rows.where("asks"), n_q, True).select("dim", F.col("block").alias("q"), every(n_c).alias("c"), *[F.col(x).alias(f"q_{x}") for x in _PACKED])
-    tiles = left.join(right, ["dim", "q", "c"]).select("dim", "c", *[f"{side}_{x}" for side in "qc" for x in _PACKED])
+    right = packed(cands, n_c, False).repartition(parts).select("dim", F.spark_partition_id().alias("part"), *[F.col(x).alias(f"c_{x}") for x in _PACKED])
+    left = packed(rows.where("asks"), n_q, True).repartition(shares).select("dim", "block", *[F.col(x).alias(f"q_{x}") for x in _PACKED])
+    # never a broadcast: Spark's estimates know nothing of packed blocks. Each task has a part of either side
+    tiles = left.join(right.hint("shuffle_replicate_nl"), "dim").select("dim", "block", "part", *[f"{side}_{x}" for side in "qc" for x in _PACKED])
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, best = None, None
         for b in batches:
             for row in b.itertuples(index=False):
-                q, c = Block(row.dim, *row[2:8]), Block(row.dim, *row[8:14])
-                out = [(i, key, row.c, top, bottom, c.keys[j]) for i, key, top, bottom, j in tile_best(q, c, k)]
-                yield pd.DataFrame(out, columns=["query_id", "key", "part", "tops", "bottoms", "keys"])
+                if of != row[:3]:  # blocks of candidates of one part follow each other
+                    if best:
+                        yield best.lists(of[2])
+                    of, best = row[:3], Best(Block(row.dim, *row[3:9]), k)
+                best.add(Block(row.dim, *row[9:15]))
+        if best:
+            yield best.lists(of[2])
 
     lists = "query_id long, key long, part int, tops array<double>, bottoms array<double>, keys array<long>"
 
@@ -198,7 +272,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
                 out.append((query, key, part, [x[0] for x in best], [x[1] for x in best], [int(x[2]) for x in best]))
             yield pd.DataFrame(out, columns=["query_id", "key", "part", "tops", "bottoms", "keys"])
 
-    best, parts = tiles.mapInPandas(multiply, lists), n_c
+    best = tiles.mapInPandas(multiply, lists)
     while True:
         parts = math.ceil(parts / MERGE)
         grouped = best.groupBy("query_id", "key", F.floor(F.col("part") / MERGE).cast("int").alias("part")).agg(F.collect_list(F.struct("tops", "bottoms", "keys")).alias("lists"))
