@@ -509,6 +509,71 @@ def test_passages_with_changes(spark, share, least):
     assert fuzzy_recall(spark, share) >= least
 
 
+def test_passages_whose_seeds_elect_others(spark):
+    """Two texts share 80 words with a change every 20; each piece between has a head that has no more of them."""
+    base, rows = [f"p{i}" for i in range(80)], []
+    for k in range(4):
+        q, r = [f"q{k}x{i}" for i in range(60)], [f"r{k}x{i}" for i in range(60)]
+        rows += [(10 + 2 * k + c, " ".join([*q, *base[20 * k : 20 * k + 19], *r, f"end{k}x{c}"])) for c in range(2)]
+    rows += [(i, " ".join(f"own{i}" if k % 20 == 19 else w for k, w in enumerate(base))) for i in (1, 2)]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1 AND other_id = 2").collect()
+    assert [(x["start"], x["end"], x["other_start"], x["other_end"], x["n_same"]) for x in got] == [(0, 79, 0, 79, 76)]
+
+
+@pytest.mark.parametrize("compared", [1 << 20, 50])
+def test_passages_lose_no_link_with_changes(spark, monkeypatch, compared):
+    """Any two texts with a passage around a seed of theirs are joined by passages, one after the other, at a seed of it."""
+    r = random.Random(compared)
+    monkeypatch.setattr(passages, "COMPARED", compared)
+    pool = [prose(r.choice([15, 25, 45, 60, 90]), 100 + i, 60).split() for i in range(9)]
+
+    def changed(part):
+        out, rate = [], r.choice([0, 0.04, 0.1, 0.15])
+        for w in part:
+            x = r.random()
+            out += [w] if x >= rate else [f"c{r.randrange(10**6)}"] if x < 0.7 * rate else [] if x < 0.85 * rate else [w, f"c{r.randrange(10**6)}"]
+        return out
+
+    texts = {i: [w for part in r.sample(pool, 3) for w in [*prose(r.randrange(12), 1000 + r.randrange(10**6), 300).split(), *changed(part)]] for i in range(90)}
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    paired, seeds, flat = collections.defaultdict(list), collections.defaultdict(list), []
+    for x in got:
+        paired[x["doc_id"]].append((x["other_id"], x["start"], x["end"], x["other_start"]))
+    batch, base = pa.array([" ".join(t) for t in texts.values()]), {}
+    for lo, _, _, owner, hashes, _, _ in hashing.word_chunks(batch):
+        value, at = passages.minimizers(hashes, owner)
+        heads = np.searchsorted(owner, np.arange(owner[-1] + 1))
+        for v, a in zip(value.tolist(), at.tolist()):
+            i = lo + int(owner[a])
+            if len(texts[i]) >= passages.MIN_WORDS:
+                seeds[v].append((i, a - int(heads[owner[a]])))
+        base |= {lo + k: len(flat) + int(h) for k, h in enumerate(heads)}
+        flat += hashes.astype(np.uint32).tolist()
+    asked = [(i, p, j, q) for places in seeds.values() for (i, p), (j, q) in itertools.combinations(places, 2) if i != j]
+    K, n, at = passages.K, {i: len(t) for i, t in texts.items()}, lambda f: np.array([f(*x) for x in asked])
+    side = lambda *fs: passages._extend_all(np.array(flat, np.uint32), *map(at, fs[:-1]), fs[-1])
+    a, b, same = side(lambda i, p, j, q: base[i] + p - 1, lambda i, p, j, q: p, lambda i, p, j, q: base[j] + q - 1, lambda i, p, j, q: q, -1)
+    c, d, more = side(lambda i, p, j, q: base[i] + p + K, lambda i, p, j, q: n[i] - p - K, lambda i, p, j, q: base[j] + q + K, lambda i, p, j, q: n[j] - q - K, 1)
+    short, long = np.minimum(a + c, b + d) + K, np.maximum(a + c, b + d) + K
+    wanted = np.flatnonzero((short >= passages.MIN_WORDS) & (same + more + K >= passages.MIN_IDENTITY * long)).tolist()
+
+    def reached(i, p, far=5):
+        seen, waiting = set(), [(i, p)]
+        while waiting:
+            i, p = waiting.pop()
+            if (i, p // far) not in seen:
+                seen.add((i, p // far))
+                waiting += [(o, there + p - start) for o, start, end, there in paired[i] if start <= p + far and p + K <= end + far]
+        return {(i, p + d) for i, p in seen for d in range(-2, 3)}
+
+    reach = {x: reached(*x) for places in seeds.values() for x in places}
+    met = collections.defaultdict(list)
+    for i, p, j, q in (asked[k] for k in wanted):
+        met[i, j] += [p] if (j, q // 5) in reach[i, p] else []
+    lost = [asked[k] for k in wanted for i, p, j, _ in [asked[k]] if not any(p - a[k] <= x <= p + c[k] for x in met[i, j])]
+    assert len(wanted) > 2000 and not lost, (len(lost), len(wanted), lost[:5])
+
+
 def test_passages_of_repeated_rows(spark):
     line = prose(12, 4, 30_000)
     rows = [(1, prose(80, 1))] * 500 + [(2, prose(80, 1))] * 300 + [(k, f"{line} " * (8 + k)) for k in range(3, 7)] + [(None, None), (None, ""), (None, prose(80, 1))]
